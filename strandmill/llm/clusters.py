@@ -26,6 +26,8 @@ SMALL = 48
 #: Candidate groups with more rows are clustered in parts of about so many.
 PART = 8_192
 EDGE = np.iinfo(np.int64).min
+#: A task contracts its pairs whenever it holds so many.
+FOREST = 1_000_000
 
 
 def _turns(seed: int, dim: int, out: int, n: int) -> list[np.ndarray]:
@@ -163,9 +165,21 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[pa.Re
 
 
 def _candidates(unit: float, near: float, tau: float):
-    """k, id, s1, s2 sorted by k -> a, b: pairs of a cell whose sketches are close enough, and passed edges."""
+    """k, id, s1, s2 sorted by k -> a, b: pairs of a cell whose sketches are close enough, and passed edges.
+
+    The pairs that a task finds in all its cells are contracted to a forest before they go on.
+    """
+
+    def forest(pairs: list[np.ndarray]) -> np.ndarray:
+        both = np.concatenate(pairs)
+        nodes, at = np.unique(both, return_inverse=True)
+        at = at.reshape(both.shape)
+        root = _roots(len(nodes), at[:, 0], at[:, 1])
+        own = np.flatnonzero(root != np.arange(len(nodes)))
+        return np.stack([nodes[root[own]], nodes[own]], 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
         for b in _whole_groups(batches, 0):
             k, ids, s1, s2 = (b.column(i).to_numpy() for i in range(4))
             edge = s2 == EDGE
@@ -188,12 +202,14 @@ def _candidates(unit: float, near: float, tau: float):
                 lead, p, q = _cover(s[lo[g] : hi[g]], near, tau + 2 * near + 2 * near)
                 left += [own, own[p]]
                 right += [own[lead], own[q]]
-            a, c = np.concatenate(left), np.concatenate(right)
-            x, y = np.minimum(a, c), np.maximum(a, c)
-            some = x < y
-            if some.any():
-                pairs = np.unique(np.stack([x[some], y[some]], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], names=["a", "b"])
+            held.append(np.stack([np.concatenate(left), np.concatenate(right)], 1))
+            if sum(map(len, held)) > FOREST:
+                held = [forest(held)]
+                if len(held[0]) > FOREST // 2:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in held[0].T], names=["a", "b"])
+                    held = []
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in forest(held).T], names=["a", "b"])
 
     return run
 
