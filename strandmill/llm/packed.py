@@ -7,13 +7,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+#: Low bits of a word that hold a place among the values hashed at once.
+_PLACE = (1 << 28) - 1
 #: Stands for a null element of an array.
 NULL = np.iinfo(np.int64).min
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Item size in one byte, then the values in the smallest of 2, 4 and 8 bytes that holds them."""
-    for kind in (np.int16, np.int32):
+    """Item size in one byte, then the values in the smallest of 1, 2, 4 and 8 bytes that holds them."""
+    for kind in (np.int8, np.int16, np.int32):
         at = np.iinfo(kind)
         if not len(values) or (values.min() >= at.min and values.max() <= at.max):
             return bytes([np.dtype(kind).itemsize]) + values.astype(kind).tobytes()
@@ -94,14 +96,30 @@ def minima(h: np.ndarray, ends: np.ndarray, k: int, w: int) -> tuple[np.ndarray,
     valid = np.flatnonzero(inside(ends, k + w - 1))
     if not len(valid):
         return valid, valid
-    best = h[: len(h) - w + 1].copy()
-    at = np.zeros(len(best), np.int64)
-    for j in range(1, w):
-        x = h[j : j + len(best)]
-        less = x < best
-        best[less] = x[less]
-        at[less] = j
-    return valid, valid + at[valid]
+    # hash and place in one word, so the least word is the leftmost least hash
+    x = (h & ~np.uint64(_PLACE)) | (np.arange(len(h), dtype=np.uint64) & np.uint64(_PLACE))
+    span = 1
+    while 2 * span <= w:
+        x = np.minimum(x[:-span], x[span:])
+        span *= 2
+    if span < w:
+        x = np.minimum(x[: len(x) - (w - span)], x[w - span :])
+    return valid, valid + ((x[valid] - valid.astype(np.uint64)) & np.uint64(_PLACE)).astype(np.int64)
+
+
+def windows(codes: np.ndarray, starts: np.ndarray, span: int) -> np.ndarray:
+    """A 64-bit digest of the `span` codes from each start: a polynomial of mixed codes over its prefix sums."""
+    n = len(codes)
+    base, inverse = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+    powers = np.full(n + 1, base, np.uint64)
+    powers[0] = 1
+    powers = np.multiply.accumulate(powers)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(mix(codes.astype(np.int64).view(np.uint64) + np.uint64(0xD1B54A32D192ED03)) * powers[:n], out=sums[1:])
+    back = np.full(n + 1, inverse, np.uint64)
+    back[0] = 1
+    back = np.multiply.accumulate(back)
+    return mix((sums[starts + span] - sums[starts]) * back[starts])
 
 
 def document(ends: np.ndarray, at: np.ndarray) -> np.ndarray:

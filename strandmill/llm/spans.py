@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from strandmill.functions.keys import key, letters
-from strandmill.llm.packed import document, gear, minima, mix, pack, pack_column, unpack
+from strandmill.llm.packed import document, gear, minima, mix, pack, pack_column, unpack, windows
 
 #: field: (length of a shared window, elements hashed at a cut point)
-WINDOWS = {"seq": (30, 10), "tokens": (20, 6)}
+WINDOWS = {"seq": (30, 8), "tokens": (20, 8)}
 #: So many elements are hashed at once in a task.
 CHUNK = 2_000_000
 
@@ -52,37 +52,29 @@ def _chunks(batches: Iterator[pa.RecordBatch], field: int, packed: int):
             at = end
 
 
-def _combined(digest: np.ndarray, doc: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pre-aggregation before the shuffle: keys, and whether the row is already decided.
+def _combined(digest: np.ndarray, doc: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pre-aggregation before the shuffle: columns k, doc, pos, done.
 
     A digest that several documents of this chunk have is decided here: its rows go on under a key of
-    their own (so a hot digest spreads over all tasks), and only the first row of two of its
-    documents stays under the digest to tell the other chunks.
+    their own (so a hot digest spreads over all tasks), and only two markers, for the least and the
+    greatest of its documents (pos -1), stay under the digest to tell the other chunks.
     """
-    order = np.lexsort((doc, digest))
+    order = np.argsort(digest)
     d, o = digest[order], doc[order]
-    first = np.ones(len(d), bool)
-    first[1:] = d[1:] != d[:-1]
-    group = np.cumsum(first) - 1
-    starts = np.flatnonzero(first)
-    last = np.append(starts[1:], len(d)) - 1
-    several = (o[starts] != o[last])[group]
-    told = np.zeros(len(d), bool)
-    told[starts] = True
-    told[last] = True
+    starts = np.flatnonzero(np.append(True, d[1:] != d[:-1]))
+    low, high = np.minimum.reduceat(o, starts), np.maximum.reduceat(o, starts)
+    several = low < high
     decided = np.zeros(len(digest), bool)
-    decided[order] = several
-    marks = np.zeros(len(digest), bool)
-    marks[order] = several & told
-    return decided, marks
-
-
-def _rows(digest: np.ndarray, doc: np.ndarray, where: np.ndarray, decided: np.ndarray, marks: np.ndarray) -> list[np.ndarray]:
-    """Columns k, doc, pos, done: decided rows under a spread key, markers (pos -1) and open rows under the digest."""
+    decided[order] = np.repeat(several, np.diff(np.append(starts, len(d))))
     spread = mix(doc.view(np.uint64) * np.uint64(31) + where.view(np.uint64)).view(np.int64)
-    k = np.concatenate([np.where(decided, spread, digest), digest[marks]])
-    n = int(marks.sum())
-    return [k, np.concatenate([doc, doc[marks]]), np.concatenate([where, np.full(n, -1, np.int64)]), np.concatenate([decided, np.zeros(n, bool)])]
+    told = d[starts[several]]
+    none = np.full(2 * len(told), -1, np.int64)
+    return (
+        np.concatenate([np.where(decided, spread, digest), told, told]),
+        np.concatenate([doc, low[several], high[several]]),
+        np.concatenate([where, none]),
+        np.concatenate([decided, none > 0]),
+    )
 
 
 def _salt(field: str, tag: list, level: list) -> np.ndarray:
@@ -93,7 +85,7 @@ def _salt(field: str, tag: list, level: list) -> np.ndarray:
 
 
 def _cut_points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """field, tag, level, doc, packed -> k, at, done; at holds the document's 32-bit tag and the position."""
+    """field, tag, level, doc, packed -> k, at: the document's 31-bit tag and the position; negative if decided."""
     for field, b, values, ends in _chunks(batches, 0, 4):
         span, k = WINDOWS[field]
         h = gear(values, k)
@@ -105,15 +97,15 @@ def _cut_points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = at[keep]
         row = document(ends, at)
         digest = mix(h[at] ^ _salt(field, b.column(1).to_pylist(), b.column(2).to_pylist())[row]).view(np.int64)
-        doc = b.column(3).to_numpy()[row] & np.int64(0xFFFFFFFF)
+        doc = b.column(3).to_numpy()[row] & np.int64(0x7FFFFFFF)
         where = at - ends[row]
-        decided, marks = _combined(digest, doc, where)
-        key_, doc, where, done = _rows(digest, doc, where, decided, marks)
-        yield pa.RecordBatch.from_arrays([pa.array(key_), pa.array((doc << 32) | (where & 0xFFFFFFFF)), pa.array(done)], names=["k", "at", "done"])
+        key_, doc, where, done = _combined(digest, doc, where)
+        at = (doc << 32) | (where & 0xFFFFFFFF) | np.where(done, np.iinfo(np.int64).min, 0)
+        yield pa.RecordBatch.from_arrays([pa.array(key_), pa.array(at)], names=["k", "at"])
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """field, tag, level, doc, packed, at -> k, doc, pos, done: the windows whose cut point another document may share."""
+    """field, tag, level, doc, packed, at -> k, doc, pos: the windows whose cut point another document may share; -2 - pos if decided."""
     for field, b, values, ends in _chunks(batches, 0, 4):
         span, k = WINDOWS[field]
         h = gear(values, k)
@@ -126,13 +118,11 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(start):
             continue
         row = document(ends, start)
-        a, c = gear(values, span), gear(values[::-1], span)[::-1]
-        digest = mix(a[start] ^ mix(c[start] + _salt(field, b.column(1).to_pylist(), b.column(2).to_pylist())[row])).view(np.int64)
+        digest = mix(windows(values, start, span) ^ _salt(field, b.column(1).to_pylist(), b.column(2).to_pylist())[row]).view(np.int64)
         doc = b.column(3).to_numpy()[row]
         where = start - ends[row]
-        decided, marks = _combined(digest, doc, where)
-        cols = _rows(digest, doc, where, decided, marks)
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2].astype(np.int32)), pa.array(cols[3])], names=["k", "doc", "pos", "done"])
+        key_, doc, where, done = _combined(digest, doc, where)
+        yield pa.RecordBatch.from_arrays([pa.array(key_), pa.array(doc), pa.array(np.where(done, -2 - where, where).astype(np.int32))], names=["k", "doc", "pos"])
 
 
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,19 +163,21 @@ def shared_spans(backbones: DataFrame, tokens: DataFrame) -> DataFrame:
     rows = elements(backbones, tokens)
     doc = F.xxhash64("field", "tag", "level", "pid").alias("doc")
     keyed = rows.select("field", "tag", "level", doc, "packed")
-    marks = keyed.mapInArrow(_cut_points, "k bigint, at bigint, done boolean")
-    tag = F.shiftrightunsigned("at", 32)
+    marks = keyed.mapInArrow(_cut_points, "k bigint, at bigint")
+    low, tag = F.col("at").bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint")), F.shiftright(F.col("at").bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF).cast("bigint")), 32)
     w = W.partitionBy("k")
-    marks = marks.withColumn("tag32", tag)
-    marks = marks.withColumn("shared", F.col("done") | (F.min("tag32").over(w) < F.max("tag32").over(w)))
-    low = F.col("at").bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint"))
-    points = marks.where("shared").select("tag32", F.when(low <= 0x7FFFFFFF, low).cast("int").alias("p")).where("p IS NOT NULL")
-    points = points.groupBy("tag32").agg(F.collect_set("p").alias("at"))
-    best = rows.groupBy("field", "tag", "level", "pid").agg(F.max(F.struct(F.length("packed").alias("n"), "packed")).alias("x"))
-    best = best.select("field", "tag", "level", "pid", doc, "x.packed").withColumn("tag32", F.col("doc").bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint")))
-    wanted = best.join(points, "tag32")
-    found = wanted.select("field", "tag", "level", "doc", "packed", "at").mapInArrow(_windows, "k bigint, doc bigint, pos int, done boolean")
-    found = found.withColumn("shared", F.col("done") | (F.min("doc").over(w) < F.max("doc").over(w))).where("shared AND pos >= 0")
+    marks = marks.withColumn("tag31", tag)
+    marks = marks.withColumn("shared", (F.col("at") < 0) | (F.min("tag31").over(w) < F.max("tag31").over(w)))
+    points = marks.where("shared").select("tag31", F.when(low <= 0x7FFFFFFF, low).cast("int").alias("p")).where("p IS NOT NULL")
+    points = points.groupBy("tag31").agg(F.collect_set("p").alias("at"))
+    # one shuffle of the texts serves both the choice of a pid's row and the join with its points
+    parted = rows.select("field", "tag", "level", "pid", doc, "packed").withColumn("tag31", F.col("doc").bitwiseAND(F.lit(0x7FFFFFFF).cast("bigint"))).repartition("tag31")
+    best = parted.groupBy("tag31", "doc", "field", "tag", "level", "pid").agg(F.max(F.struct(F.length("packed").alias("n"), "packed")).alias("x"))
+    best = best.select("tag31", "doc", "field", "tag", "level", "x.packed")
+    wanted = best.join(points, "tag31")
+    found = wanted.select("field", "tag", "level", "doc", "packed", "at").mapInArrow(_windows, "k bigint, doc bigint, pos int")
+    found = found.withColumn("shared", (F.col("pos") < -1) | (F.min("doc").over(w) < F.max("doc").over(w))).where("shared AND pos <> -1")
+    found = found.select("doc", F.when(F.col("pos") < 0, -2 - F.col("pos")).otherwise(F.col("pos")).alias("pos"))
     starts = found.groupBy("doc").agg(F.collect_list("pos").alias("starts"))
     ids = backbones.select(F.lit("seq").alias("field"), F.lit("").alias("tag"), F.lit(-1).alias("level"), key("pid").alias("pid"))
     ids = ids.unionByName(tokens.select(F.lit("tokens").alias("field"), "tag", "level", key("pid").alias("pid")))
