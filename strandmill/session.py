@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _CLEANED: set[str] = set()
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def get_spark(cores: int | str = "*", name: str = "strandmill", **conf: str) -> SparkSession:
@@ -56,7 +57,8 @@ def _delete(spark: SparkSession, path: str) -> None:
 class Scratch:
     """Intermediate tables of one query, written as Parquet below the shared folder.
 
-    A table written here cuts the lineage: a lost executor costs only the tasks that read it.
+    A table written here cuts the lineage: a lost executor costs only the tasks that read it, and
+    the shuffle files of the steps before it are removed as soon as it is whole.
     `drop` removes a table that no later step reads; the rest goes when the process ends.
     """
 
@@ -70,7 +72,12 @@ class Scratch:
 
     def write(self, df: DataFrame, tag: str) -> DataFrame:
         path = f"{self.root}/{uuid.uuid4().hex}-{tag}"
-        df.write.parquet(path)
+        kept = self.spark.conf.get(_CLEANUP, "false")
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(_CLEANUP, kept)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._strandmill_path = path
         return out
