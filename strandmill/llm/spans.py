@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 
 from strandmill.functions.keys import key, letters
 from strandmill.llm.packed import document, gear, minima, mix, pack, pack_column, unpack, windows
+from strandmill.session import Scratch
 
 #: field: (length of a shared window, elements hashed at a cut point)
 WINDOWS = {"seq": (30, 8), "tokens": (20, 8)}
@@ -169,7 +170,7 @@ def shared_spans(backbones: DataFrame, tokens: DataFrame) -> DataFrame:
     marks = marks.withColumn("tag31", tag)
     marks = marks.withColumn("shared", (F.col("at") < 0) | (F.min("tag31").over(w) < F.max("tag31").over(w)))
     points = marks.where("shared").select("tag31", F.when(low <= 0x7FFFFFFF, low).cast("int").alias("p")).where("p IS NOT NULL")
-    points = points.groupBy("tag31").agg(F.collect_set("p").alias("at"))
+    points = Scratch(backbones.sparkSession).write(points.groupBy("tag31").agg(F.collect_set("p").alias("at")), "points")
     # one shuffle of the texts serves both the choice of a pid's row and the join with its points
     parted = rows.select("field", "tag", "level", "pid", doc, "packed").withColumn("tag31", F.col("doc").bitwiseAND(F.lit(0x7FFFFFFF).cast("bigint"))).repartition("tag31")
     best = parted.groupBy("tag31", "doc", "field", "tag", "level", "pid").agg(F.max(F.struct(F.length("packed").alias("n"), "packed")).alias("x"))
