@@ -17,7 +17,7 @@ from strandmill.session import Scratch
 #: Vectors are reduced to so many dimensions for the partitions.
 REDUCED = 48
 #: Overlapping partitions of the reduced space, and directions that make up a cell of each.
-PARTITIONS, DEPTH = 20, 3
+PARTITIONS, DEPTH = 26, 3
 #: Dimensions of the sketch that travels with a row.  A pair at the limit keeps less than SHARE of its
 #: squared distance in the sketch but for a chance under 1e-7.
 SKETCH, SHARE = 16, 0.25
@@ -320,7 +320,7 @@ def density_clusters(rows: DataFrame, eps: float = 2.0, dim: int = 192, id: str
 
     1. Vectors are reduced by random orthonormal bases, which never lengthen a distance, and the
        reduced space is cut into Voronoi cells in PARTITIONS overlapping ways; a pair at the limit is in a
-       common cell of one partition at least but for a chance of about 2e-5, closer pairs far more surely.
+       common cell of one partition at least but for a chance of about 6e-6, closer pairs far more surely.
     2. Within a cell only rows with close sketches become candidates.  Dense cells are covered by
        leaders, before the shuffle and after it, so no group's pairs are enumerated.
     3. Candidates are connected into groups (a superset of the clusters), groups with more than PART rows
