@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from strandmill.plans import geometry, integrity, quantization, relations, statistics
+from strandmill.plans.quantization import flagship
+from strandmill.plans.registry import ORACLE, QUERIES
 
-from strandmill.plans import integrity
+QUERIES = {**QUERIES, **integrity.QUERIES}
+ORACLE = {**ORACLE, **integrity.ORACLE}
 
-QUERIES = {**integrity.QUERIES}
-ORACLE = {**integrity.ORACLE}
-
-
-def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return integrity.p2_counts(spark, d)
+__all__ = ["ORACLE", "QUERIES", "flagship", "geometry", "integrity", "quantization", "relations", "statistics"]

@@ -1 +1 @@
-"""Placeholder."""
+"""Readers and writers of the formats that token pipelines exchange."""

@@ -1 +1 @@
-"""Placeholder."""
+"""Incremental forms of the batch statistics."""
