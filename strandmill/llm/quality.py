@@ -96,7 +96,9 @@ def not_prose(stats: DataFrame, at_least: int = 2) -> DataFrame:
     A null statistic is not out of range.  Repeated rows of a document are given once.
     """
     out = F.array_compact(F.array(*[F.when(_outside(s), s) for s in RANGES]))
-    return stats.select("doc_id", out.alias("out")).where(F.size("out") >= at_least).select("doc_id", F.explode("out").alias("stat")).distinct()
+    # bound in a lambda, so the statistics are not computed a second time for a filter
+    many = F.flatten(F.transform(F.array(out), lambda o: F.when(F.size(o) >= at_least, o)))
+    return stats.select("doc_id", F.explode(many).alias("stat")).distinct()
 
 
 def ngram_coverage(documents: DataFrame, n: int = 3, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
