@@ -90,12 +90,44 @@ def _cover(s: np.ndarray, near: float, link: float) -> tuple[np.ndarray, np.ndar
     return lead, np.concatenate(a) if a else at[:0], np.concatenate(b) if b else at[:0]
 
 
+def _links(s: np.ndarray, loose: np.ndarray, near: float, tau: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows that connect all rows of s within tau of each other, without enumerating a dense part's pairs.
+
+    Rows join their leader; leaders join where they, or any of their rows, are within tau.  A loose row stands
+    for others within `near` of it, so tau grows by `near` for each loose row of a pair.
+    """
+    slack = near * loose
+    lead, p, q = _cover(s, near, tau + 4 * near)
+    if not len(p):
+        return np.arange(len(s)), lead
+    d = np.sqrt(((s[p] - s[q]) ** 2).sum(1))
+    sure = d <= tau + slack[p] + slack[q]
+    root = _roots(len(s), p[sure], q[sure])
+    a, b = [np.arange(len(s)), p[sure]], [lead, q[sure]]
+    balls: dict[int, np.ndarray] = {}
+    for i in np.flatnonzero(~sure)[np.argsort(d[~sure])]:
+        if root[p[i]] == root[q[i]]:
+            continue
+        m, o = (balls.setdefault(int(j), np.flatnonzero(lead == j)) for j in (p[i], q[i]))
+        if len(m) == len(o) == 1:
+            continue
+        limit = tau + slack[o]
+        for j in range(0, len(m), 512):
+            if (_squares(s[m[j : j + 512]], s[o]) <= (limit[None] + slack[m[j : j + 512], None]) ** 2).any():
+                root[root == max(root[p[i]], root[q[i]])] = min(root[p[i]], root[q[i]])
+                a.append(p[i : i + 1])
+                b.append(q[i : i + 1])
+                break
+    return np.concatenate(a), np.concatenate(b)
+
+
 def _cells(dim: int, eps: float, seed: int):
     """id, d -> k, id, s1, s2: the row under its cell of every partition, with its sketch.
 
     Cells are Voronoi cells of the reduced, randomly turned vectors: DEPTH times the direction they
     lie furthest along.  Where many rows of a batch share a cell, rows close to a leader are
     replaced by an edge to it (s2 = EDGE, s1 = the leader), so a dense cell sends few rows to its task.
+    The lowest bit of s2 marks a leader that stands for others.
     """
     unit = eps / 64
     near, tau = 0.15 * eps, eps * SHARE**0.5
@@ -111,6 +143,7 @@ def _cells(dim: int, eps: float, seed: int):
             ids = b.column(0).to_numpy(zero_copy_only=False)[rows].astype(np.int64)
             s = np.clip(np.rint(x @ sketch / np.float32(unit)), -127, 127).astype(np.int8)
             words = np.ascontiguousarray(s).view(np.int64)
+            words[:, 1] &= ~1
             real = s.astype(np.float32) * np.float32(unit)
             out: list[list[np.ndarray]] = [[], [], [], []]
             for t in range(PARTITIONS):
@@ -125,12 +158,13 @@ def _cells(dim: int, eps: float, seed: int):
                 order = np.argsort(k, kind="stable")
                 cuts = np.flatnonzero(np.diff(k[order])) + 1
                 lo, hi = np.append(0, cuts), np.append(cuts, len(order))
-                send = np.ones(len(rows), bool)
+                send, stands = np.ones(len(rows), bool), np.zeros(len(rows), np.int64)
                 for i in np.flatnonzero(hi - lo > SMALL):
                     own = order[lo[i] : hi[i]]
                     lead, _, _ = _cover(real[own], near, 0)
                     gone = lead != np.arange(len(own))
                     send[own[gone]] = False
+                    stands[own[lead[gone]]] = 1
                     out[0].append(ids[own[gone]])
                     out[1].append(ids[own[gone]])
                     out[2].append(ids[own[lead[gone]]])
@@ -138,7 +172,7 @@ def _cells(dim: int, eps: float, seed: int):
                 out[0].append(k[send])
                 out[1].append(ids[send])
                 out[2].append(words[send, 0])
-                out[3].append(words[send, 1])
+                out[3].append(words[send, 1] | stands[send])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["k", "id", "s1", "s2"])
 
     return run, (unit, near, tau)
@@ -185,7 +219,8 @@ def _candidates(unit: float, near: float, tau: float):
             edge = s2 == EDGE
             left, right = [ids[edge]], [s1[edge]]
             k, ids, s1, s2 = k[~edge], ids[~edge], s1[~edge], s2[~edge]
-            s = np.stack([s1, s2], 1).view(np.int8).reshape(len(k), SKETCH).astype(np.float32) * np.float32(unit)
+            loose = s2 & 1
+            s = np.stack([s1, s2 & ~1], 1).view(np.int8).reshape(len(k), SKETCH).astype(np.float32) * np.float32(unit)
             cuts = np.flatnonzero(np.diff(k)) + 1
             lo, hi = np.append(0, cuts), np.append(cuts, len(k))
             n = np.repeat(hi - lo, hi - lo)
@@ -194,14 +229,14 @@ def _candidates(unit: float, near: float, tau: float):
                 i = np.flatnonzero((place >= shift) & (n <= SMALL))
                 if not len(i):
                     break
-                close = ((s[i] - s[i - shift]) ** 2).sum(1) <= tau * tau
+                close = ((s[i] - s[i - shift]) ** 2).sum(1) <= (tau + near * (loose[i] + loose[i - shift])) ** 2
                 left.append(ids[i[close]])
                 right.append(ids[i[close] - shift])
             for g in np.flatnonzero(hi - lo > SMALL):
                 own = ids[lo[g] : hi[g]]
-                lead, p, q = _cover(s[lo[g] : hi[g]], near, tau + 2 * near + 2 * near)
-                left += [own, own[p]]
-                right += [own[lead], own[q]]
+                p, q = _links(s[lo[g] : hi[g]], loose[lo[g] : hi[g]], near, tau)
+                left.append(own[p])
+                right.append(own[q])
             held.append(np.stack([np.concatenate(left), np.concatenate(right)], 1))
             if sum(map(len, held)) > FOREST:
                 held = [forest(held)]
