@@ -147,6 +147,16 @@ def _oracles() -> dict[str, str]:
           len(list_filter(lines, lambda x: regexp_matches(x, '[.!?]{blank}*$'))) / nullif(len(lines), 0) AS line_end
           FROM w, known WHERE text IS NOT NULL)"""
     return {
+        "p1_found": """
+            WITH RECURSIVE x AS (SELECT desc_id, any_value(d)::DOUBLE[192] AS d FROM descriptors WHERE desc_id IS NOT NULL AND len(list_filter(d, lambda v: v IS NOT NULL AND isfinite(v))) = 192 AND len(d) = 192 GROUP BY desc_id),
+            e AS MATERIALIZED (SELECT a.desc_id AS p, b.desc_id AS q FROM x a JOIN x b ON array_distance(a.d, b.d) <= 2.0 AND a.desc_id <> b.desc_id),
+            c AS (SELECT p, p AS lead FROM e UNION SELECT e.q, c.lead FROM c JOIN e ON c.p = e.p)
+            SELECT p AS desc_id, min(lead) AS cluster_id FROM c GROUP BY p""",
+        "p8_found": f"""
+            WITH d AS (SELECT {_NAME.format('source')} AS source, sum(coalesce(length(text), 0)) AS size FROM documents WHERE {_NAME.format('source')} IS NOT NULL GROUP BY 1),
+            t AS (SELECT {_NAME.format('source')} AS source, max(share) AS share, arg_max(max_repeats, share) AS laps FROM mix_targets GROUP BY 1), b AS (SELECT sum(size) AS total FROM d)
+            SELECT coalesce(d.source, t.source) AS source, CASE WHEN d.source IS NULL THEN 'absent' WHEN share IS NULL THEN 'untargeted' WHEN share * total / size <= 1 THEN 'sampled'
+              WHEN share * total / size <= laps THEN 'repeated' ELSE 'short' END AS state FROM d FULL JOIN t ON d.source = t.source, b""",
         "p3_found": f"""
             WITH s AS {best}, t AS {arrays},
             u AS (SELECT 'seq' AS field, '' AS tag, -1 AS level, pid, i AS pos, 30 AS n, substr(seq, i + 1, 30) AS w FROM s, unnest(range(length(seq) - 29)) AS x(i) WHERE length(seq) >= 30
