@@ -86,6 +86,15 @@ def zscores(rows: DataFrame, value: str, group: list[str], name: str = "z") -> D
 def blend_ladder(rows: DataFrame, score: str, other: str, truth: str, group: list[str], alphas: tuple[float, ...] = (0.1, 0.2, 0.3, 0.4, 0.5)) -> DataFrame:
     """(group..., alpha, rho): Spearman of a z(score) + (1 - a) z(other) with the truth, for every a."""
     z = zscores(zscores(rows, score, group, "_za"), other, group, "_zb")
+    z = z.where(F.col(truth).isNotNull() & F.col("_za").isNotNull() & F.col("_zb").isNotNull())
+    # the truth's ranks are the same for every a
+    z = average_ranks(z, truth, group, "_rt").select(*group, "_za", "_zb", "_rt")
     ladder = z.withColumn("alpha", F.explode(F.array(*map(F.lit, alphas))))
-    ladder = ladder.withColumn("_mix", F.round(F.col("alpha") * F.col("_za") + (1 - F.col("alpha")) * F.col("_zb"), 9))
-    return spearman(ladder, "_mix", truth, [*group, "alpha"]).drop("n")
+    ladder = ladder.select(*group, "alpha", "_rt", F.round(F.col("alpha") * F.col("_za") + (1 - F.col("alpha")) * F.col("_zb"), 9).alias("_mix"))
+    # ranks of equal blends are equal, so rows are summed by blend before they are ranked
+    m = ladder.groupBy(*group, "alpha", "_mix").agg(F.count("*").alias("_n"), F.sum("_rt").alias("_t"), F.sum(F.col("_rt") * F.col("_rt")).alias("_t2"))
+    m = running(m, [*group, "alpha"], "_mix", ["_n"]).withColumn("_r", F.col("before__n") + (F.col("_n") + 1) / 2)
+    n, x, y = F.sum("_n"), F.sum(F.col("_n") * F.col("_r")), F.sum("_t")
+    xx, yy, xy = F.sum(F.col("_n") * F.col("_r") * F.col("_r")), F.sum("_t2"), F.sum(F.col("_r") * F.col("_t"))
+    rho = F.try_divide(xy - x * y / n, F.sqrt(F.greatest(xx - x * x / n, F.lit(0.0))) * F.sqrt(F.greatest(yy - y * y / n, F.lit(0.0))))
+    return m.groupBy(*group, "alpha").agg(rho.alias("rho"))

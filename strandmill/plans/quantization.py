@@ -194,8 +194,10 @@ def a20_disruption(spark: SparkSession, d: str) -> DataFrame:
     e = wt.join(mut, "pid").where(F.size("a") == F.size("b")).select("pid", F.explode(F.arrays_zip("a", "b")).alias("e")).where("e.a >= 0 AND e.b >= 0")
     book = books(spark, d)[0]
     e = e.select("pid", (F.col("e.a") % 16).alias("x"), (F.col("e.b") % 16).alias("y"))
-    e = e.join(F.broadcast(book.toDF("x", "u")), "x").join(F.broadcast(book.toDF("y", "v")), "y")
-    return e.groupBy("pid").agg(F.round(F.sum(F.sqrt(vec.sqdist("u", "v"))), 6).alias("disruption"), F.count("*").alias("n")).where("n >= 10")
+    # each pair of codes that occurs is measured once, not once a position
+    e = e.groupBy("pid", "x", "y").agg(F.count("*").alias("c"))
+    far = e.select("x", "y").distinct().join(F.broadcast(book.toDF("x", "u")), "x").join(F.broadcast(book.toDF("y", "v")), "y").select("x", "y", F.sqrt(vec.sqdist("u", "v")).alias("far"))
+    return e.join(far, ["x", "y"]).groupBy("pid").agg(F.round(F.sum(F.col("c") * F.col("far")), 6).alias("disruption"), F.sum("c").alias("n")).where("n >= 10")
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

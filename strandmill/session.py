@@ -21,6 +21,7 @@ def get_spark(cores: int | str = "*", name: str = "strandmill", **conf: str) ->
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.host", "127.0.0.1")
     )
     for key, value in conf.items():
