@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +14,10 @@ from pyspark.sql import functions as F
 from strandmill.llm.packed import inside, mix
 
 SPAN = 13
-#: Positions of a span that each mask keeps; the others may differ.  Fixed values.
-MASKS = ((0, 1, 3, 4, 7, 8, 10, 12), (0, 2, 3, 5, 6, 9, 11, 12), (1, 2, 4, 6, 7, 9, 10, 11))
+#: Spans of fewer words are found only whole.
+LEAST = 8
+#: Looked-up spans are verified in parts of about so many.
+PART = 1_000_000
 #: Held-out texts are looked up in blocks of at most so many, each broadcast.
 BLOCK = 20_000
 #: A word stands for itself if it occurs in the held-out texts; all others are OTHER.
@@ -39,9 +42,16 @@ def _words(texts: list, vocabulary: dict[str, int], grow: bool = False) -> tuple
     return np.array(ids, np.int64), np.array(ends, np.int64)
 
 
-def _kept(mask: tuple[int, ...], span: int) -> list[int]:
-    """The mask on a shorter span; spans under 8 words keep every position."""
-    return [p for p in mask if p < span] if span >= 8 else list(range(span))
+def _masks(span: int, most_differing: int) -> list[list[int]]:
+    """The positions that each mask keeps; whichever `most_differing` positions differ, some mask ignores them all.
+
+    Positions are dealt in turn to most_differing + 2 groups and a mask keeps two of them: the words
+    replaced lie in at most most_differing groups, so two groups are whole.
+    """
+    if span < LEAST:
+        return [list(range(span))]
+    groups = most_differing + 2
+    return [[p for p in range(span) if p % groups in two] for two in combinations(range(groups), 2)]
 
 
 def _hash(ids: np.ndarray, at: np.ndarray, kept: list[int], salt: int) -> np.ndarray:
@@ -55,7 +65,7 @@ def _hash(ids: np.ndarray, at: np.ndarray, kept: list[int], salt: int) -> np.nda
 class _Index:
     """Hashes of the held-out spans under every mask."""
 
-    def __init__(self, items: list[tuple[int, str]], span: int):
+    def __init__(self, items: list[tuple[int, str]], span: int, most_differing: int):
         self.vocabulary: dict[str, int] = {}
         self.ids, self.ends = _words([t for _, t in items], self.vocabulary, grow=True)
         self.item = np.array([i for i, _ in items], np.int64)
@@ -68,23 +78,34 @@ class _Index:
             starts = np.flatnonzero(inside(self.ends, int(n)))
             doc = np.searchsorted(self.ends, starts, side="right") - 1
             starts, doc = starts[ok[doc]], doc[ok[doc]]
-            for mask in {tuple(_kept(m, int(n))) for m in MASKS}:
-                h = _hash(self.ids, starts, list(mask), int(n))
+            for mask in _masks(int(n), most_differing):
+                h = _hash(self.ids, starts, mask, int(n))
                 order = np.argsort(h, kind="stable")
-                self.seeds.append((int(n), list(mask), h[order], starts[order], doc[order]))
+                self.seeds.append((int(n), mask, h[order], starts[order].astype(np.int32), doc[order].astype(np.int32)))
+
+
+def _parts(count: np.ndarray) -> Iterator[slice]:
+    """Slices of `count` that sum to PART at most, or are one long."""
+    ends, i = np.cumsum(count), 0
+    while i < len(count):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + PART, side="right")))
+        yield slice(i, j)
+        i = j
 
 
 def _search(index: _Index, most_differing: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, ends = _words(b.column(1).to_pylist(), index.vocabulary)
+            known, whole = ids != OTHER, {}
             found = []
             for n, mask, hashes, starts, item in index.seeds:
-                at = np.flatnonzero(inside(ends, n))
-                known = np.ones(len(at), bool)
+                if n not in whole:
+                    whole[n] = inside(ends, n)
+                ok = whole[n].copy()
                 for p in mask:
-                    known &= ids[at + p] != OTHER
-                at = at[known]
+                    ok &= known[p : p + len(ok)]
+                at = np.flatnonzero(ok)
                 if not len(at):
                     continue
                 h = _hash(ids, at, mask, n)
@@ -93,16 +114,17 @@ def _search(index: _Index, most_differing: int):
                 at, lo, hi = at[hit], lo[hit], hi[hit]
                 if not len(at):
                     continue
-                count = hi - lo
-                mine = np.repeat(at, count)
-                theirs = np.repeat(lo - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
-                differ = np.zeros(len(mine), np.int64)
-                for p in range(n):
-                    differ += ids[mine + p] != index.ids[starts[theirs] + p]
-                good = differ <= (most_differing if n >= 8 else 0)
-                mine, theirs, differ = mine[good], theirs[good], differ[good]
-                doc = np.searchsorted(ends, mine, side="right") - 1
-                found.append(np.stack([doc, index.item[item[theirs]], differ, mine - ends[doc], np.full(len(doc), n)], 1))
+                for part in _parts(hi - lo):
+                    count = (hi - lo)[part]
+                    mine = np.repeat(at[part], count)
+                    theirs = np.repeat(lo[part] - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
+                    differ = np.zeros(len(mine), np.int64)
+                    for p in range(n):
+                        differ += ids[mine + p] != index.ids[starts[theirs] + p]
+                    good = differ <= (most_differing if n >= LEAST else 0)
+                    mine, theirs, differ = mine[good], theirs[good], differ[good]
+                    doc = np.searchsorted(ends, mine, side="right") - 1
+                    found.append(np.stack([doc, index.item[item[theirs]], differ, mine - ends[doc], np.full(len(doc), n)], 1))
             if not found:
                 continue
             x = np.concatenate(found)
@@ -130,14 +152,15 @@ def leaked(documents: DataFrame, items: DataFrame, span: int = SPAN, most_differ
     A passage is `span` consecutive words of the item, or all words of a shorter one, with at most
     `most_differing` words replaced (none in spans under 8 words).  differing is the least
     number replaced over all such spots, first_word the first such spot, n_spots how many word positions
-    begin one.  differing = 0 are the exact passages: any mask finds each of them.
+    begin one.  differing = 0 are the exact passages: any mask finds each of them.  Nothing within
+    these limits is missed: the masks together ignore every choice of most_differing positions.
 
     Words are runs of letters and digits of the lower-cased text.  Cases: null and empty texts hold
     and are no passages; texts are searched whole at any length; repeated documents and items give
     repeated pairs once for each distinct (doc_id, item_id) and batch, removed here; empty tables give
     no rows; further columns are ignored.
 
-    Fixed masks ignore some word positions, so that a replaced word leaves another mask's hash
+    Masks ignore some word positions each, so that replaced words leave the hash of another mask
     equal.  Hashes of the items' spans are looked up in blocks of at most BLOCK items, each
     broadcast; every document is read once for each block and nothing of the corpus is shuffled
     but the pairs found.  Each hit is verified word by word.
@@ -152,7 +175,7 @@ def leaked(documents: DataFrame, items: DataFrame, span: int = SPAN, most_differ
         mine = held.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k) if blocks > 1 else held
         rows = [(r[0], r[1]) for r in mine.collect()]
         if rows:
-            parts.append(d.mapInArrow(_search(_Index(rows, span), most_differing), schema))
+            parts.append(d.mapInArrow(_search(_Index(rows, span, most_differing), most_differing), schema))
     if not parts:
         return spark.createDataFrame([], schema)
     found = reduce(DataFrame.unionByName, parts)

@@ -2,6 +2,7 @@
 
 import random
 import re
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -451,6 +452,42 @@ def test_leaks_with_replaced_words(spark):
     assert 10 <= len(got) <= 13 and all(r[1:] == (7, 1, 1, 13, 1) for r in got) and 50 not in {r[0] for r in got}
 
 
+@pytest.mark.parametrize("n", [8, 9, 10, 11, 12, 13])
+def test_leaks_with_any_two_words_replaced(spark, n):
+    text = [f"w{i}" for i in range(n)]
+    places = [*combinations(range(n), 1), *combinations(range(n), 2)]
+    changed = [*places, *combinations(range(n), 3)]
+    docs = [(i, " ".join("other" if k in c else w for k, w in enumerate(text)), 1, "", 1) for i, c in enumerate(changed)]
+    got = leaks.leaked(spark.createDataFrame(docs, DOC), spark.createDataFrame([(7, " ".join(text), 1, "")], ITEM))
+    same(got, {(i, 7, len(c), 0, n, 1) for i, c in enumerate(places)})
+
+
+def test_leaks_by_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(leaks, "PART", 5)
+    r = random.Random(2)
+    w = lambda n: [f"w{r.randrange(300)}" for _ in range(n)]
+    items = [(i, w(r.choice([7, 8, 9, 12, 13, 14, 30]))) for i in range(30)]
+    docs = []
+    for i in range(150):
+        x = r.choice(items)[1]
+        a = r.randrange(max(1, len(x) - 12))
+        x = list(x[a : a + 15])
+        for _ in range(r.randrange(5)):
+            x[r.randrange(len(x))] = r.choice(["other", *w(1)])
+        docs.append((i, w(r.randrange(5)) + x + w(5)))
+    want = set()
+    for d, t in docs:
+        for i, x in items:
+            n = min(13, len(x))
+            pairs = [(sum(p != q for p, q in zip(t[k : k + n], x[j : j + n])), k) for k in range(len(t) - n + 1) for j in range(len(x) - n + 1)]
+            near = [(c, k) for c, k in pairs if c <= (2 if n >= 8 else 0)]
+            if near:
+                want.add((d, i, *min(near), n, len({k for _, k in near})))
+    assert {x[2] for x in want} == {0, 1, 2}
+    d = spark.createDataFrame([(i, " ".join(t), 1, "", 1) for i, t in docs], DOC)
+    same(leaks.leaked(d, spark.createDataFrame([(i, " ".join(t), 1, "") for i, t in items], ITEM)), want)
+
+
 def test_leaks_of_nothing(spark):
     d, it = spark.createDataFrame([], DOC), spark.createDataFrame([], ITEM)
     assert rows(leaks.leaked(d, it)) == []
