@@ -15,6 +15,9 @@ MAX_IN_PLACE = 20_000
 #: name: (least, most) of the statistics that tell prose from the rest; None is no limit.
 RANGES = {"n_words": (20, None), "word_len": (3.4, 7.0), "common": (0.20, None), "symbols": (None, 0.12), "line_end": (0.50, None)}
 
+#: Words of an n-gram, and the share of a text's word characters above which its dominant one is repetition.
+NGRAM, DOMINANT = 3, 0.3
+
 
 def _ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b)
@@ -25,15 +28,34 @@ def _repeated(items: Column) -> Column:
     return _ratio((F.size(items) - F.size(F.array_distinct(items))).cast("double"), F.size(items))
 
 
+def _top_share(words: Column, n: int) -> Column:
+    """top_share of ngram_coverage: runs in the sorted n-grams are counted, so a text costs one sort."""
+    follow = lambda w, i: F.concat_ws(" ", w, *[F.get(words, i + k) for k in range(1, n)])
+    grams = F.sort_array(F.transform(F.slice(words, 1, F.size(words) - (n - 1)), follow))
+
+    def count(a: Column, g: Column) -> Column:
+        run = F.when(g == a["g"], a["run"] + 1).otherwise(F.lit(1).cast("bigint"))
+        return F.struct(g.alias("g"), run.alias("run"), F.greatest(a["most"], run * (F.length(g) - (n - 1))).alias("most"))
+
+    none = F.struct(F.lit("").alias("g"), F.lit(0).cast("bigint").alias("run"), F.lit(0).cast("bigint").alias("most"))
+    most = F.aggregate(grams, none, count, lambda a: a["most"])
+    return F.when(F.size(words) >= n, F.least(F.lit(1.0), most / F.length(F.array_join(words, ""))))
+
+
 def text_stats(documents: DataFrame, common_words: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id and the statistics of its text; one row for each row of `documents`.
 
     n_words, word_len, common, symbols, line_end as in the project's statement of problem 9;
     dup_lines and dup_paragraphs, the shares of non-blank lines and paragraphs that repeat an
     earlier one of the same text; bullets, the share of lines that begin like a list item or a
-    table row; kind, the combined verdict: `boilerplate` (repetition), `list` (lines that don't end
+    table row; top_share, the share of the word characters in the dominant n-gram of NGRAM words, null
+    under NGRAM words; kind, the combined verdict: `boilerplate` (repetition), `list` (lines that don't end
     as sentences and mostly begin as items), `junk` (few words or symbols over the limit) or `prose`.
 
+    Repetition is a share over 0.3 of repeated lines or of repeated paragraphs, or a top_share over
+    DOMINANT in a text that has enough words, of natural length; with words out of the range of
+    word_len, which are fragments rather than a phrase, it is `junk` unless its lines or paragraphs repeat.
+
     Cases: a null text has only nulls; a statistic without a denominator is null; blanks only give
     n_words 0 and null shares; texts are used whole, at any length; ties do not arise; an empty
     table gives no rows; further columns, whatever their names, are ignored.  All of it is a
@@ -71,12 +93,14 @@ def text_stats(documents: DataFrame, common_words: DataFrame, text: str = "text"
             _repeated(F.col("lines")).alias("dup_lines"),
             _repeated(paragraphs).alias("dup_paragraphs"),
             _ratio(items.cast("double"), F.size("lines")).alias("bullets"),
+            _top_share(F.col("words"), NGRAM).alias("top_share"),
         )
     )
     bad = lambda s: F.coalesce(_outside(s), F.lit(False))
+    dominant = (F.coalesce("top_share", F.lit(0.0)) > DOMINANT) & ~bad("n_words") & ~bad("word_len")
     kind = (
         F.when(F.col("n_words").isNull(), None)
-        .when((F.coalesce("dup_lines", F.lit(0.0)) > 0.3) | (F.coalesce("dup_paragraphs", F.lit(0.0)) > 0.3), "boilerplate")
+        .when((F.coalesce("dup_lines", F.lit(0.0)) > 0.3) | (F.coalesce("dup_paragraphs", F.lit(0.0)) > 0.3) | dominant, "boilerplate")
         .when(bad("line_end") & (F.coalesce("bullets", F.lit(0.0)) > 0.3), "list")
         .when(bad("n_words") | bad("symbols") | bad("common") | bad("word_len"), "junk")
         .otherwise("prose")

@@ -593,6 +593,31 @@ def test_prose(spark, monkeypatch, in_place):
     assert top[900] == (None, None) and top[905] == ("same line here", 1.0)
 
 
+def test_repetition_inside_a_line(spark):
+    filler = " ".join(f"natural{i}" for i in range(70))
+    texts = {
+        1: "click to expand " * 30,
+        2: ("the natural word of " * 30).strip() + ".",
+        3: filler + " read the whole" * 7 + ".",
+        4: " ".join(f"the natural{i}" for i in range(20)) + ".",
+        5: "click to expand " * 6,
+        6: "one two",
+        7: None,
+        8: "",
+        9: "İ Å3 naïve " * 20,
+        10: "of a the " * 20,
+    }
+    df = spark.createDataFrame([(i, t, "", 0, "", 0) for i, t in texts.items()], Q)
+    got = {r["doc_id"]: r for r in quality.text_stats(df, spark.createDataFrame([("the",), ("to",)], "word string")).collect()}
+    assert {i: r["top_share"] for i, r in got.items()} == pytest.approx({r["doc_id"]: r["top_share"] for r in quality.ngram_coverage(df).collect()})
+    assert [got[i]["kind"] for i in (1, 2)] == ["boilerplate"] * 2
+    assert got[3]["kind"] == "junk" and 0.1 < got[3]["top_share"] < 0.3  # few common words
+    assert got[4]["kind"] == "prose"
+    assert got[5]["kind"] != "boilerplate" and got[5]["n_words"] == 18 and got[5]["top_share"] == 1.0
+    assert got[6]["top_share"] is None and got[7]["kind"] is None and got[8]["top_share"] is None
+    assert got[10]["kind"] == "junk" and got[10]["top_share"] == 1.0  # no natural words
+
+
 def test_quality_of_nothing(spark):
     none = quality.text_stats(spark.createDataFrame([], Q), spark.createDataFrame([], "word string"))
     assert rows(none) == [] and rows(quality.not_prose(none)) == []
