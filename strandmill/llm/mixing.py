@@ -44,31 +44,54 @@ def sized(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     return d.mapInArrow(run, "doc_id bigint, source string, tokens bigint")
 
 
-def queue_report(sizes: DataFrame, targets: DataFrame) -> DataFrame:
+def _supply(sizes: DataFrame, targets: DataFrame) -> DataFrame:
+    """(source, n_docs, size, longest, share, max_repeats, budget): what each source has and what is wanted of it."""
+    have = sizes.where("source IS NOT NULL").groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("tokens").alias("size"), F.max("tokens").alias("longest"))
+    have = Scratch(sizes.sparkSession).write(have, "sources")  # read twice: the documents are tokenized once
+    want = (
+        targets.select(name("source").alias("source"), "share", "max_repeats")
+        .where("source IS NOT NULL AND share IS NOT NULL")
+        .groupBy("source")
+        .agg(F.max(F.struct("share", "max_repeats")).alias("t"))
+        .select("source", "t.share", F.coalesce("t.max_repeats", F.lit(1)).alias("max_repeats"))
+    )
+    total = have.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("budget"))
+    return have.join(want, "source", "full").join(F.broadcast(total), how="cross")  # one row
+
+
+def _running(d: DataFrame, seed: int) -> DataFrame:
+    """`d` (doc_id, source, tokens, ...) with run: the running sum of a source's tokens in its shuffled order.
+
+    The sum is taken in SLICES slices of that order, so no source is sorted in one task.
+    """
+    h = F.xxhash64(F.lit(seed), "doc_id")
+    d = d.withColumn("h", h).withColumn("slice", F.floor((F.col("h") / 2.0**63 + 1) / 2 * SLICES).cast("int"))
+    sums = d.groupBy("source", "slice").agg(F.sum("tokens").alias("s"))
+    before = sums.select("source", "slice", (F.sum("s").over(W.partitionBy("source").orderBy("slice")) - F.col("s")).alias("before"))
+    inner = F.sum("tokens").over(W.partitionBy("source", "slice").orderBy("h", "doc_id").rowsBetween(W.unboundedPreceding, 0))
+    return d.withColumn("run", inner).join(before, ["source", "slice"]).withColumn("run", F.col("run") + F.col("before"))
+
+
+def queue_report(sizes: DataFrame, targets: DataFrame, seed: int = 17) -> DataFrame:
     """What each source can do: one row for each source of `sizes` (doc_id, source, tokens) or `targets`.
 
     (source, n_docs, size, share, max_repeats, lap, budget, state).  lap is the virtual finish time of
     the source's last document on its first pass, size / share.  The queue stops at the budget, the
     tokens of all documents with a source; a source whose first lap reaches it is `sampled`
     (share * total / size <= 1), one that reaches it within max_repeats laps `repeated`, else `short`;
-    `untargeted` has no target, `absent` no documents.
+    `untargeted` has no target, `absent` no documents.  Both come from the queue of `mix`: the
+    running sums of the shuffled documents and their virtual finish times.  `sizes` is read more than once.
 
     Cases: a null source or null share is left out (no target); repeated targets of a source count
     once, with the greatest share; documents without tokens make a source with a positive share
     `short`; a share of 0 makes it `sampled`; a null max_repeats is 1.
     """
-    have = sizes.where("source IS NOT NULL").groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("tokens").alias("size"), F.max("tokens").alias("longest"))
-    have = Scratch(sizes.sparkSession).write(have, "sources")  # read twice: the documents are tokenized once
-    want = (
-        targets.select(name("source").alias("source"), "share", "max_repeats")
-        .where("source IS NOT NULL AND share IS NOT NULL")
-        .groupBy("source")
-        .agg(F.max(F.struct("share", "max_repeats")).alias("t"))
-        .select("source", "t.share", F.coalesce("t.max_repeats", F.lit(1)).alias("max_repeats"))
-    )
-    total = have.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("budget"))
-    lap = F.when(F.col("share") > 0, F.col("size") / F.col("share"))
-    q = F.when(F.col("size") > 0, F.col("share") * F.col("budget") / F.col("size"))
+    both = Scratch(sizes.sparkSession).write(_supply(sizes, targets), "supply")
+    live = both.where("n_docs IS NOT NULL AND share > 0").select("source", "share")  # one row a source of the targets table
+    queue = _running(sizes.join(F.broadcast(live), "source"), seed).withColumn("finish", F.col("run") / F.col("share"))
+    ends = queue.groupBy("source").agg(F.max("finish").alias("lap"), F.max("run").alias("last"))
+    # the queue's stop against the last finish time, multiplied out as the required result has it
+    q = F.when(F.col("last") > 0, F.col("share") * F.col("budget") / F.col("last"))
     state = (
         F.when(F.col("n_docs").isNull(), "absent")
         .when(F.col("share").isNull(), "untargeted")
@@ -76,8 +99,8 @@ def queue_report(sizes: DataFrame, targets: DataFrame) -> DataFrame:
         .when(q <= F.col("max_repeats"), "repeated")
         .otherwise("short")
     )
-    both = have.join(want, "source", "full").join(F.broadcast(total), how="cross")  # one row
-    return both.select("source", "n_docs", "size", "longest", "share", "max_repeats", lap.alias("lap"), "budget", state.alias("state"))
+    out = both.join(ends, "source", "left")
+    return out.select("source", "n_docs", "size", "longest", "share", "max_repeats", "lap", "budget", state.alias("state"))
 
 
 def mix(sizes: DataFrame, targets: DataFrame, budget: int | None = None, seed: int = 17) -> DataFrame:
@@ -91,12 +114,11 @@ def mix(sizes: DataFrame, targets: DataFrame, budget: int | None = None, seed: i
     Those with the least finish are taken while their tokens stay within the budget.  Ties go by
     source, document and copy.  A document row is used at most max_repeats times.
 
-    The running sum is taken in SLICES slices of the shuffled order, so no source is sorted in one task.
     The queue's total up to a time t is known from the sources' sizes to within one document
     of each source, so only the rows of that margin are sorted globally.
     """
     scratch = Scratch(sizes.sparkSession)
-    plan = [r.asDict() for r in queue_report(sizes, targets).where("share IS NOT NULL").collect()]  # one row a source of the targets
+    plan = [r.asDict() for r in _supply(sizes, targets).where("share IS NOT NULL").collect()]  # one row a source of the targets
     live = [p for p in plan if p["size"] and p["share"] and p["share"] > 0 and p["max_repeats"] > 0]
     if not live:
         return sizes.select("doc_id", "source", F.lit(0).alias("copy"), "tokens", F.lit(0.0).alias("finish")).limit(0)
@@ -119,13 +141,7 @@ def mix(sizes: DataFrame, targets: DataFrame, budget: int | None = None, seed: i
     sure, last = when(budget) * (1 - 1e-12), when(budget + sum(p["longest"] for p in live)) * (1 + 1e-12)
     spark = sizes.sparkSession
     facts = spark.createDataFrame([(p["source"], float(p["share"]), int(p["max_repeats"]), int(p["size"])) for p in live], "source string, share double, max_repeats int, size bigint")
-    d = sizes.join(F.broadcast(facts), "source")  # one row a source of the targets table
-    h = F.xxhash64(F.lit(seed), "doc_id")
-    d = d.withColumn("h", h).withColumn("slice", F.floor((F.col("h") / 2.0**63 + 1) / 2 * SLICES).cast("int"))
-    sums = d.groupBy("source", "slice").agg(F.sum("tokens").alias("s"))
-    before = sums.select("source", "slice", (F.sum("s").over(W.partitionBy("source").orderBy("slice")) - F.col("s")).alias("before"))
-    inner = F.sum("tokens").over(W.partitionBy("source", "slice").orderBy("h", "doc_id").rowsBetween(W.unboundedPreceding, 0))
-    d = d.withColumn("run", inner).join(before, ["source", "slice"]).withColumn("run", F.col("run") + F.col("before"))
+    d = _running(sizes.join(F.broadcast(facts), "source"), seed)  # one row a source of the targets table
     laps = F.sequence(F.lit(0), F.col("max_repeats") - 1)
     d = d.select("doc_id", "source", "tokens", "run", "share", "size", F.explode(laps).alias("copy"))
     d = d.withColumn("finish", (F.col("run") + F.col("copy") * F.col("size")) / F.col("share"))

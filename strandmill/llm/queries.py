@@ -71,14 +71,14 @@ def p7_items(spark: SparkSession, d: str) -> DataFrame:
     return items.join(found, "item_id").select("item_id", "suite", "kind", "n_exact", "n_near")
 
 
-def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.queue_report(mixing.sized(load(spark, d, "documents")), load(spark, d, "mix_targets")).select("source", "state")
-
-
 def _sized(spark: SparkSession, d: str) -> DataFrame:
     return mixing.Scratch(spark).write(mixing.sized(load(spark, d, "documents")), "sizes")
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.queue_report(_sized(spark, d), load(spark, d, "mix_targets")).select("source", "state")
+
+
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(_sized(spark, d), load(spark, d, "mix_targets"))
 

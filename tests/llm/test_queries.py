@@ -508,6 +508,23 @@ def test_states(spark):
     assert got == {"a": "sampled", "b": "repeated", "c": "short", "d": "untargeted", "gone": "absent", "empty": "short"}
 
 
+def test_states_are_the_queues(spark, monkeypatch):
+    sizes = spark.createDataFrame([(i, "ab"[i % 2], i % 7) for i in range(200)], SIZED)
+    t = spark.createDataFrame([("a", 0.2, 1, 0, 0), ("b", 0.8, 2, 0, 0)], TARGET)
+    seen = []
+    running = mixing._running
+    monkeypatch.setattr(mixing, "_running", lambda d, seed: seen.append(running(d, seed)) or seen[-1])
+    got = {r["source"]: r for r in mixing.queue_report(sizes, t).collect()}
+    last = {}
+    for r in seen[0].collect():
+        last[r["source"]] = max(last.get(r["source"], 0), r["run"] / {"a": 0.2, "b": 0.8}[r["source"]])
+    assert {k: r["lap"] for k, r in got.items()} == last
+    assert {k: r["state"] for k, r in got.items()} == {"a": "sampled", "b": "repeated"}
+    whole = mixing.mix(sizes, t, 10**9)
+    first = {r["source"]: r["f"] for r in whole.where("copy = 0").groupBy("source").agg(F.max("finish").alias("f")).collect()}
+    assert first == last
+
+
 @pytest.mark.parametrize("budget", [None, 0, 137, 3000, 10**9])
 def test_mix_is_the_queue(spark, budget):
     r = random.Random(2)
