@@ -93,6 +93,18 @@ def test_clusters_of_nothing(spark):
     assert rows(clusters.density_clusters(spark.createDataFrame([(1, [0.0] * 192, 0, "", 1)], D))) == []
 
 
+@pytest.mark.parametrize("norm", [1.0, 3.0, 3.9])
+def test_clusters_of_small_norms(spark, norm):
+    rng = np.random.default_rng(int(10 * norm))
+    unit = lambda: (lambda v: v / np.linalg.norm(v))(rng.normal(size=192))
+    data = []
+    for i in range(60 if norm > 2 else 1):
+        a = unit() * norm
+        data += [(2 * i, a.astype(np.float32).tolist()), (2 * i + 1, (a + unit() * 1.95).astype(np.float32).tolist())]
+    df = spark.createDataFrame([(i, d, 0, "x", 1) for i, d in data], D)
+    same(clusters.density_clusters(df), brute_clusters(data))
+
+
 def test_linked_large_block():
     data = np.array([d for _, d in some_vectors(3, 400)], np.float32)
     d2 = ((data[:, None] - data[None]) ** 2).sum(-1)
