@@ -3,23 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strandmill.operators.ranks import numbered
+
 
 def class_space(labels: DataFrame, label: str = "label") -> DataFrame:
     """(label, idx): the distinct labels in order, numbered from 0.
 
-    The number is the count of smaller labels: ranges of labels are counted first and numbered within,
-    so the labels are never sorted in one task.
+    Labels of any kind in their own order (strings by code point); nulls are left out.  They are
+    numbered within ranges of the order, so they are never sorted in one task.
     """
-    from strandmill.operators.ranks import running
-
     d = labels.select(F.col(label).alias("label")).where("label IS NOT NULL").distinct()
-    h = d.withColumn("one", F.lit(1)).withColumn("head", F.conv(F.hex(F.rpad(F.substring(F.col("label").cast("string"), 1, 4), 4, " ")), 16, 10).cast("double"))
-    per = running(h.groupBy("head").agg(F.count("*").alias("n")), [], "head", ["n"])
-    inner = F.row_number().over(W.partitionBy("head").orderBy("label"))
-    return h.withColumn("r", inner).join(per.select("head", "before_n"), "head").select("label", (F.col("before_n") + F.col("r") - 1).cast("bigint").alias("idx"))
+    return numbered(d, ["label"])
 
 
 def top_labels(labels: DataFrame, k: int, label: str, order: str, place: str) -> DataFrame:
@@ -42,9 +38,6 @@ def with_positive_label(items: DataFrame, labels: DataFrame, kept: DataFrame, ke
 
 
 def round_robin(jobs: DataFrame, n: int, i: int, order: str) -> DataFrame:
-    """Every n-th job from the i-th on, in order (numbered in slices of the order's range)."""
-    from strandmill.operators.ranks import running
-
-    c = running(jobs.groupBy(order).agg(F.count("*").alias("n")), [], order, ["n"])
-    r = jobs.join(c.select(order, "before_n"), order)
-    return r.where(F.pmod(F.col("before_n"), F.lit(n)) == i).drop("before_n")
+    """Every n-th job from the i-th on: every job has a number of its own, equal ones by their other columns."""
+    rest = [f.name for f in jobs.schema.fields if f.name != order and f.dataType.typeName() not in ("map", "variant")]
+    return numbered(jobs, [order, *rest], "_idx").where(F.pmod("_idx", F.lit(n)) == i).drop("_idx")

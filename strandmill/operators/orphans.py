@@ -6,59 +6,84 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from strandmill.functions.keys import key
+from strandmill.session import Scratch
 
-#: Largest number of versions of a key that travel as one array; keys with more are swept in slices of time.
-MAX_VERSIONS = 256
-#: A key is heavy from this share of all references on; there are at most 1 / HEAVY_SHARE of them.
+#: A key and month is heavy from this share of all references on; there are at most 1 / HEAVY_SHARE of them.
 HEAVY_SHARE = 0.002
-#: Heavy keys are broadcast together with their versions up to so many versions in all.
+#: Heavy ones are broadcast up to so many versions in all; beyond, both sides are split over SALTS parts.
 MAX_BROADCAST_VERSIONS = 100_000
+SALTS = 64
+ON = ["ref_field", "k", "period"]
 
 
-def _reason(versions: Column, at: Column) -> Column:
-    alive = F.exists(versions, lambda v: (v["on"] <= at) & (v["off"].isNull() | (v["off"] > at)))
-    later = F.forall(versions, lambda v: v["on"] > at)
-    return (
-        F.when(versions.isNull(), "missing")
-        .when(F.coalesce(alive, F.lit(False)), None)
-        .when(F.coalesce(later, F.lit(False)), "later")
-        .otherwise("deleted")
-    )
+def references(refs: DataFrame, fields: list[str], row_id: str = "row_id", at: str = "ran_at") -> DataFrame:
+    """(row_id, ran_at, ref_field, k, period): every reference once, null and blank ones left out."""
+    # rows are brought together by their id, so both distinct steps share one shuffle
+    d = refs.select(F.col(row_id).alias("row_id"), F.col(at).alias("ran_at"), *[key(f).alias(f"_{i}") for i, f in enumerate(fields)]).repartition("row_id").distinct()
+    flat = d.select("row_id", "ran_at", F.expr("stack({}, {}) AS (ref_field, k)".format(len(fields), ", ".join(f"'{f}', `_{i}`" for i, f in enumerate(fields)))))
+    return flat.where("k IS NOT NULL").distinct().withColumn("period", F.date_format("ran_at", "yyyy-MM"))
 
 
-def _swept(refs: DataFrame, versions: DataFrame) -> DataFrame:
-    """The same answer for keys with very many versions, by a sweep over time.
+def key_months(flat: DataFrame, fields: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """(ref_field, k, period, n, state, first, open, versions): the references of a key and month, and what became of them.
 
-    Starts and ends of versions and the references themselves are events of a key.  Each day of
-    a key is a group of its own; the number of versions alive when the day begins is the prefix
-    sum of the small per-day table.  No group holds more than one key's events of one day.
+    state is `missing`, `later` or `deleted` where that holds for all of them, `held` where none is dangling,
+    and `mixed` where the key comes or goes between the first and the last of them; versions are then the
+    key's versions that touch that time, first its earliest loaded_at (open: a version has none).
+    The references are pre-aggregated, so a key that a third of all rows refer to is one row a month here.
     """
-    day = F.coalesce(F.date_trunc("day", "t"), F.lit("0001-01-01").cast("timestamp_ntz"))
-    ons = versions.where("on IS NOT NULL AND (off IS NULL OR off > on)")
-    events = (
-        ons.select("ref_field", "k", F.col("on").alias("t"), F.lit(1).alias("d"))
-        .union(ons.where("off IS NOT NULL").select("ref_field", "k", F.col("off").alias("t"), F.lit(-1).alias("d")))
-        .withColumn("day", day)
-    )
-    first = versions.groupBy("ref_field", "k").agg(F.min("on").alias("first"), F.bool_or(F.col("on").isNull()).alias("open"))
-    days = events.groupBy("ref_field", "k", "day").agg(F.sum("d").alias("net"))
-    asked = refs.withColumn("t", F.col("ran_at")).withColumn("day", day)
-    days = days.unionByName(asked.select("ref_field", "k", "day", F.lit(0).cast("bigint").alias("net")).distinct()).groupBy("ref_field", "k", "day").agg(F.sum("net").alias("net"))
-    carry = days.select("ref_field", "k", "day", (F.sum("net").over(W.partitionBy("ref_field", "k").orderBy("day")) - F.col("net")).alias("carry"))
-    none = F.lit(None)
-    line = events.select("ref_field", "k", "day", "t", "d", none.cast("bigint").alias("row_id")).union(
-        asked.select("ref_field", "k", "day", "t", F.lit(0).alias("d"), "row_id")
+    versions = reduce(
+        DataFrame.unionByName,
+        [t.select(F.lit(f).alias("ref_field"), key(c).alias("k"), F.col("loaded_at").alias("on"), F.col("deleted_at").alias("off")) for f, (t, c) in fields.items()],
+    ).where("k IS NOT NULL").distinct().withColumn("known", F.lit(True))
+    loads = flat.groupBy(*ON).agg(F.count("*").alias("n"), F.min("ran_at").alias("lo"), F.max("ran_at").alias("hi"))
+    on, off, lo, hi = F.col("on"), F.col("off"), F.col("lo"), F.col("hi")
+    touches = (on <= hi) & (off.isNull() | (off > lo))
+    no = lambda c: F.coalesce(c, F.lit(False))
+    j = loads.join(versions, ["ref_field", "k"], "left")
+    s = j.groupBy(*ON, "n", "lo", "hi").agg(
+        F.bool_or(F.col("known")).alias("known"),
+        F.bool_or(no((on <= lo) & (off.isNull() | (off > hi)))).alias("held"),
+        F.bool_and(no(on > hi)).alias("later"),
+        F.bool_or(no(on <= lo) | on.isNull()).alias("before"),
+        F.collect_set(F.when(no(touches), F.struct("on", "off"))).alias("versions"),
+        F.min("on").alias("first"),
+        F.bool_or(on.isNull()).alias("open"),
     )
-    w = W.partitionBy("ref_field", "k", "day").orderBy("t").rangeBetween(W.unboundedPreceding, W.currentRow)
-    alive = line.withColumn("n", F.sum("d").over(w)).where("row_id IS NOT NULL").join(carry, ["ref_field", "k", "day"])
-    return (
-        alive.where(F.col("t").isNull() | (F.col("n") + F.col("carry") <= 0))
-        .join(first, ["ref_field", "k"])
-        .select("row_id", "ref_field", F.when((F.col("first") > F.col("t")) & ~F.col("open"), "later").otherwise("deleted").alias("reason"), F.col("t").alias("ran_at"))
+    state = (
+        F.when(F.col("known").isNull(), "missing")
+        .when(F.col("lo").isNull(), "deleted")  # without a time nothing holds, and nothing is later
+        .when(F.col("held"), "held")
+        .when(F.col("later"), "later")
+        .when((F.size("versions") == 0) & F.col("before"), "deleted")
+        .otherwise("mixed")
     )
+    return s.select(*ON, "n", state.alias("state"), "first", "open", F.when(state == "mixed", F.col("versions")).alias("versions"))
+
+
+def _reason(at: Column) -> Column:
+    alive = F.coalesce(F.exists("versions", lambda v: (v["on"] <= at) & (v["off"].isNull() | (v["off"] > at))), F.lit(False))
+    later = F.coalesce(~F.col("open") & (F.col("first") > at), F.lit(False))
+    return F.when(F.col("state") != "mixed", F.col("state")).when(alive, "held").when(later, "later").otherwise("deleted")
+
+
+def _joined(flat: DataFrame, months: DataFrame) -> DataFrame:
+    """`flat` with the states of its keys and months: heavy ones by broadcast or salted, the rest by a shuffle join."""
+    total = months.agg(F.sum("n")).first()[0] or 0
+    heavy = F.col("n") > max(1.0, HEAVY_SHARE * total)
+    hot = months.where(heavy).drop("n")
+    size = hot.agg(F.count("*") + F.coalesce(F.sum(F.coalesce(F.size("versions"), F.lit(0))), F.lit(0))).first()[0]
+    if not size:
+        return flat.join(months.drop("n"), ON)
+    keys = F.broadcast(hot.select(*ON))  # at most 1 / HEAVY_SHARE rows
+    rest = flat.join(keys, ON, "left_anti").join(months.where(~heavy).drop("n"), ON)
+    if size <= MAX_BROADCAST_VERSIONS:
+        return rest.unionByName(flat.join(F.broadcast(hot), ON))
+    salted = flat.join(keys, ON, "left_semi").withColumn("salt", F.pmod(F.xxhash64("row_id", "ran_at"), F.lit(SALTS)).cast("int"))
+    every = hot.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rest.unionByName(salted.join(every, [*ON, "salt"]).drop("salt"))
 
 
 def dangling(refs: DataFrame, fields: dict[str, tuple[DataFrame, str]], row_id: str = "row_id", at: str = "ran_at") -> DataFrame:
@@ -74,55 +99,36 @@ def dangling(refs: DataFrame, fields: dict[str, tuple[DataFrame, str]], row_id:
     null period; a null loaded_at is never loaded and never later; empty tables make every
     reference `missing`; further columns are ignored.
 
-    References are pre-aggregated per key and month; keys above HEAVY_SHARE of all references,
-    at most 1 / HEAVY_SHARE of them, are answered by a broadcast of their versions, whose
-    number is checked; the remaining keys go through one shuffle join, missing keys being those that
-    find no partner.  Keys with more than MAX_VERSIONS versions are swept by day.
+    References are pre-aggregated per key and month, and the state of most keys and months is decided there
+    (key_months).  The rows of the dangling and undecided ones are then looked up: the at most 1 / HEAVY_SHARE
+    heavy ones by a broadcast of checked size, or salted beyond it, the others by one shuffle join.  The versions
+    of one key that touch one month travel as one array.
     """
-    spark = refs.sparkSession
-    flat = refs.select(
-        F.col(row_id).alias("row_id"),
-        F.col(at).alias("ran_at"),
-        F.expr("stack({}, {}) AS (ref_field, k)".format(len(fields), ", ".join(f"'{f}', `{f}`" for f in fields))),
-    ).select("row_id", "ran_at", "ref_field", key("k").alias("k")).where("k IS NOT NULL")
-    versions = reduce(
-        DataFrame.unionByName,
-        [t.select(F.lit(f).alias("ref_field"), key(c).alias("k"), F.col("loaded_at").alias("on"), F.col("deleted_at").alias("off")) for f, (t, c) in fields.items()],
-    ).where("k IS NOT NULL").distinct()
-    many = versions.groupBy("ref_field", "k").agg(F.count("*").alias("n")).where(F.col("n") > MAX_VERSIONS).select("ref_field", "k")
-    has_many = bool(many.take(1))
-    plain = versions.join(many, ["ref_field", "k"], "left_anti") if has_many else versions
-    lines = plain.groupBy("ref_field", "k").agg(F.collect_list(F.struct("on", "off")).alias("versions"))
-
-    per_month = flat.groupBy("ref_field", "k", F.date_format("ran_at", "yyyy-MM").alias("period")).agg(F.count("*").alias("n"))
-    loads = per_month.groupBy("ref_field", "k").agg(F.sum("n").alias("n"))
-    total = loads.agg(F.sum("n")).first()[0] or 0
-    heavy = [(r[0], r[1]) for r in loads.where(F.col("n") > max(1000, HEAVY_SHARE * total)).select("ref_field", "k").collect()] if total else []
-
-    parts, rest = [], flat
-    if heavy:
-        keys = spark.createDataFrame(heavy, "ref_field string, k string")
-        mine = F.broadcast(keys).join(lines, ["ref_field", "k"], "left")
-        if (mine.agg(F.sum(F.coalesce(F.size("versions"), F.lit(0)))).first()[0] or 0) <= MAX_BROADCAST_VERSIONS:
-            if has_many:
-                mine = mine.join(many, ["ref_field", "k"], "left_anti")
-            hot = flat.join(F.broadcast(mine), ["ref_field", "k"])
-            parts.append(hot)
-            rest = flat.join(F.broadcast(mine.select("ref_field", "k")), ["ref_field", "k"], "left_anti")
-    if has_many:
-        parts_swept = _swept(flat.join(many, ["ref_field", "k"], "left_semi"), versions.join(many, ["ref_field", "k"], "left_semi"))
-        rest = rest.join(many, ["ref_field", "k"], "left_anti")
-    parts.append(rest.join(lines, ["ref_field", "k"], "left"))
-    out = reduce(
-        DataFrame.unionByName,
-        [p.select("row_id", "ref_field", _reason(F.col("versions"), F.col("ran_at")).alias("reason"), "ran_at").where("reason IS NOT NULL") for p in parts],
-    )
-    if has_many:
-        out = out.unionByName(parts_swept)
-    return out.select("row_id", "ref_field", "reason", F.date_format("ran_at", "yyyy-MM").alias("period")).distinct()
+    scratch = Scratch(refs.sparkSession)
+    flat = scratch.write(references(refs, list(fields), row_id, at), "references")
+    months = scratch.write(key_months(flat, fields).where("state <> 'held'"), "months")
+    none = F.lit("")  # months of null times meet too
+    met = _joined(flat.withColumn("period", F.coalesce("period", none)), months.withColumn("period", F.coalesce("period", none)))
+    out = met.select("row_id", "ref_field", _reason(F.col("ran_at")).alias("reason"), F.when(F.col("period") != "", F.col("period")).alias("period"))
+    return out.where("reason <> 'held'").distinct()
 
 
-def dangling_counts(found: DataFrame, tables: dict[str, str]) -> DataFrame:
-    """(ref_table, period, reason, n_rows, n_total): dangling references per referred table and month."""
-    name = F.create_map(*[F.lit(x) for pair in tables.items() for x in pair])
-    return found.groupBy(name[F.col("ref_field")].alias("ref_table"), "period", "reason").agg(F.count("*").alias("n_rows"))
+def dangling_counts(refs: DataFrame, fields: dict[str, tuple[DataFrame, str]], tables: dict[str, str], row_id: str = "row_id", at: str = "ran_at") -> DataFrame:
+    """(ref_table, period, reason, n_rows, n_total): dangling references per referred table and month, and all references of it.
+
+    Counted from the pre-aggregate; only the references of keys that come or go within a month are
+    looked up one by one.  The cases are those of `dangling`; a row with a reference in several spellings or
+    times counts as several.
+    """
+    scratch = Scratch(refs.sparkSession)
+    flat = scratch.write(references(refs, list(fields), row_id, at), "references")
+    months = scratch.write(key_months(flat, fields), "months")
+    name = F.create_map(*[F.lit(x) for pair in tables.items() for x in pair])[F.col("ref_field")].alias("ref_table")
+    none = F.lit("")
+    flat, months = (x.withColumn("period", F.coalesce("period", none)) for x in (flat, months))
+    total = months.groupBy("ref_field", "period").agg(F.sum("n").alias("n_total"))
+    sure = months.where("state NOT IN ('mixed', 'held')").groupBy("ref_field", "period", F.col("state").alias("reason")).agg(F.sum("n").alias("n"))
+    mixed = _joined(flat, months.where("state = 'mixed'")).select("ref_field", "period", _reason(F.col("ran_at")).alias("reason")).where("reason <> 'held'")
+    both = sure.unionByName(mixed.groupBy("ref_field", "period", "reason").agg(F.count("*").alias("n")))
+    out = both.groupBy("ref_field", "period", "reason").agg(F.sum("n").alias("n_rows")).join(total, ["ref_field", "period"])
+    return out.select(name, F.when(F.col("period") != "", F.col("period")).alias("period"), "reason", "n_rows", "n_total")

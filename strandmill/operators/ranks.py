@@ -6,30 +6,41 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Values of a group are ranked in so many slices of their range.
-SLICES = 64
+from strandmill.session import Scratch
 
 
 def running(counts: DataFrame, group: list[str], value: str, sums: list[str], descending: bool = False) -> DataFrame:
     """`counts` (one row a group and value) with before_<s>, the sum of each s over the values ranked earlier.
 
-    The values of a group are cut into SLICES by approximate quantiles; the running sum within a slice
-    is added to the sums of the slices before, so one group never sorts in one task.
+    The counts are parted by ranges of group and value and written once; the running sum within a
+    range is added to the sums of the group's ranges before, so a group of any size is sorted in as many tasks as
+    the shuffle has partitions.
     """
-    at = [i / SLICES for i in range(1, SLICES)]
-    key = group or ["_one"]
-    c = counts if group else counts.withColumn("_one", F.lit(0))
-    cuts = c.groupBy(*key).agg(F.percentile_approx(value, at, 1000).alias("_cuts"))
-    c = c.join(F.broadcast(cuts) if not group else cuts, key)
-    c = c.withColumn("_slice", F.size(F.filter("_cuts", lambda q: q < F.col(value)))).drop("_cuts")
+    ranged = counts.repartitionByRange(*group, value).withColumn("_slice", F.spark_partition_id())
+    c = Scratch(counts.sparkSession).write(ranged, "ranges")
     order = F.desc if descending else F.asc
-    per = c.groupBy(*key, "_slice").agg(*[F.sum(s).alias(f"_{s}") for s in sums])
-    w = W.partitionBy(*key).orderBy(order("_slice"))
-    per = per.select(*key, "_slice", *[(F.sum(f"_{s}").over(w) - F.col(f"_{s}")).alias(f"_off_{s}") for s in sums])
-    inner = W.partitionBy(*key, "_slice").orderBy(order(value)).rowsBetween(W.unboundedPreceding, 0)
-    c = c.select("*", *[(F.sum(s).over(inner) - F.col(s)).alias(f"_in_{s}") for s in sums]).join(per, [*key, "_slice"])
+    per = c.groupBy(*group, "_slice").agg(*[F.sum(s).alias(f"_{s}") for s in sums])
+    w = W.partitionBy(*group).orderBy(order("_slice"))  # one row a range
+    per = per.select(*group, "_slice", *[(F.sum(f"_{s}").over(w) - F.col(f"_{s}")).alias(f"_off_{s}") for s in sums])
+    inner = W.partitionBy(*group, "_slice").orderBy(order(value)).rowsBetween(W.unboundedPreceding, 0)
+    c = c.select("*", *[(F.sum(s).over(inner) - F.col(s)).alias(f"_in_{s}") for s in sums]).join(per, [*group, "_slice"])
     out = c.select("*", *[(F.col(f"_in_{s}") + F.col(f"_off_{s}")).alias(f"before_{s}") for s in sums])
-    return out.drop("_slice", "_one", *[f"_in_{s}" for s in sums], *[f"_off_{s}" for s in sums])
+    return out.drop("_slice", *[f"_in_{s}" for s in sums], *[f"_off_{s}" for s in sums])
+
+
+def numbered(rows: DataFrame, order: list[str], name: str = "idx") -> DataFrame:
+    """`rows` with their place, from 0, in the order of the given columns; of equal rows any comes first.
+
+    Rows are sorted within ranges and written once with their place in the range; the number of rows in
+    the ranges before is added.  So no task sorts more than its range.
+    """
+    place = F.monotonically_increasing_id()  # the range's number in the upper bits, the place in it in the lower 33
+    d = Scratch(rows.sparkSession).write(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", place), "numbered")
+    d = d.withColumn("_range", F.shiftright("_at", 33))
+    per = d.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = (F.sum("_n").over(W.orderBy("_range")) - F.col("_n")).alias("_before")  # one row a range
+    inside = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return d.join(F.broadcast(per.select("_range", before)), "_range").withColumn(name, inside + F.col("_before")).drop("_range", "_at", "_before")
 
 
 def average_ranks(rows: DataFrame, value: str, group: list[str] | None = None, name: str = "rank") -> DataFrame:
@@ -85,8 +96,12 @@ def zscores(rows: DataFrame, value: str, group: list[str], name: str = "z") -> D
 
 def blend_ladder(rows: DataFrame, score: str, other: str, truth: str, group: list[str], alphas: tuple[float, ...] = (0.1, 0.2, 0.3, 0.4, 0.5)) -> DataFrame:
     """(group..., alpha, rho): Spearman of a z(score) + (1 - a) z(other) with the truth, for every a."""
-    z = zscores(zscores(rows, score, group, "_za"), other, group, "_zb")
-    z = z.where(F.col(truth).isNotNull() & F.col("_za").isNotNull() & F.col("_zb").isNotNull())
+    d = rows.where(F.col(score).isNotNull() & F.col(other).isNotNull())
+    moments = [f(c).alias(f"_{n}{i}") for i, c in enumerate((score, other)) for n, f in (("mu", F.avg), ("sd", F.stddev_pop))]
+    m = d.groupBy(*group).agg(*moments)
+    z = lambda i, c: ((F.col(c) - F.col(f"_mu{i}")) / F.greatest(f"_sd{i}", F.lit(1e-12))).alias("_za" if i == 0 else "_zb")
+    z = d.where(F.col(truth).isNotNull()).join(m, group).select(*group, truth, z(0, score), z(1, other))
+    z = Scratch(rows.sparkSession).write(z, "z")
     # the truth's ranks are the same for every a
     z = average_ranks(z, truth, group, "_rt").select(*group, "_za", "_zb", "_rt")
     ladder = z.withColumn("alpha", F.explode(F.array(*map(F.lit, alphas))))

@@ -258,6 +258,19 @@ def test_labels(spark):
     assert sorted(rows(labels.split_buckets(items, splits))) == [("P", "val"), ("Q", "train")]
 
 
+def test_class_space_of_any_labels(spark):
+    words = ["aé", "zz", "zzzz", "a", "a\t", "日本語日本", "日本", "", *[f"GO:{i}" for i in range(300)]]
+    got = rows(labels.class_space(spark.createDataFrame([(w,) for w in words * 2], "label string")))
+    assert sorted(got, key=lambda r: r[1]) == [(w, i) for i, w in enumerate(sorted(words, key=lambda w: w.encode()))]
+    assert rows(labels.class_space(spark.createDataFrame([], "label string"))) == []
+
+
+def test_round_robin_with_ties(spark):
+    df = spark.createDataFrame([(1, f"j{i}") for i in range(7)] + [(0, "first"), (None, "null")], "o int, job string")
+    parts = [{r["job"] for r in labels.round_robin(df, 3, i, "o").collect()} for i in range(3)]
+    assert [len(p) for p in parts] == [3, 3, 3] and len(set().union(*parts)) == 9 and "null" in parts[0] and "first" in parts[1]
+
+
 def test_components(spark):
     rng = np.random.default_rng(5)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (300, 2))] + [(0, i) for i in range(1000, 1400)] + [(i, i + 1) for i in range(2000, 2060)] + [(7, 7)]
@@ -297,14 +310,22 @@ def _brute(refs, table):
     return out
 
 
-@pytest.mark.parametrize("many", [256, 1])
+@pytest.mark.parametrize("most", [100_000, 0])
 @pytest.mark.parametrize("hot", [0, 1500])
-def test_dangling(spark, monkeypatch, many, hot):
-    monkeypatch.setattr(orphans, "MAX_VERSIONS", many)
+def test_dangling(spark, monkeypatch, most, hot):
+    monkeypatch.setattr(orphans, "MAX_BROADCAST_VERSIONS", most)
     refs = [(1, " a\t", T(2, 1), 0), (1, "A", T(2, 1), 0), (2, "a", T(1, 1), 0), (3, "b", T(5, 1), 1), (4, "x", T(5, 1), 1), (5, None, T(5, 1), 1), (6, " \t", T(5, 1), 1), (7, "a", None, 1), (8, "c", T(1, 5, 10), 1), (9, "c", T(1, 5, 12), 1), (10, "a", T(3, 1), 1), (11, "d", T(3, 1), 0), (12, "x", None, 0)]
     refs += [(100 + i, "a", T(1 + i % 4, 1 + i % 25), 0) for i in range(hot)]
     table = [("A", T(1, 15), T(3, 1), 0, ""), ("a ", T(4, 1), None, 0, ""), ("a", T(4, 1), None, 0, ""), ("B", T(1, 1), T(2, 1), 0, ""), ("c", T(1, 5, 11), T(1, 5, 11, 30), 0, ""), ("c", T(1, 5, 12), None, 0, ""), ("d", None, None, 0, ""), (None, T(1, 1), None, 0, "")]
-    got = orphans.dangling(spark.createDataFrame(refs, REFS), {"pid": (spark.createDataFrame(table, TABLE), "id")})
+    table += [("E", T(1 + i % 5, 1, i % 24), T(1 + i % 5, 2 + i % 20), 0, "") for i in range(400)]  # very many versions
+    refs += [(3000 + i, " e", T(1 + i % 7, 1 + i % 28, 5), 0) for i in range(200)]
+    fields = {"pid": (spark.createDataFrame(table, TABLE), "id")}
+    got = orphans.dangling(spark.createDataFrame(refs, REFS), fields)
+    counted = rows(orphans.dangling_counts(spark.createDataFrame(refs, REFS), fields, {"pid": "t"}))
+    want = _brute(refs, table)
+    assert {(r[1], r[2]): r[3] for r in counted} == {k: sum((p, w) == k for _, _, w, p in want) for k in {(p, w) for _, _, w, p in want}}
+    every = {(i, (p or "").strip(" \t").upper(), at) for i, p, at, _ in refs if (p or "").strip(" \t")}
+    assert all(r[4] == sum((at.strftime("%Y-%m") if at else None) == r[1] for _, _, at in every) for r in counted)
     assert got.columns == ["row_id", "ref_field", "reason", "period"] and got.count() == got.distinct().count()
     assert set(rows(got)) == _brute(refs, table)
 
