@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,8 @@ CENTRE = 3.0
 SKETCH, SHARE = 16, 0.25
 #: Buckets with more rows are first covered by leaders.
 SMALL = 48
-#: Candidate groups with more rows are clustered in parts of about so many.
-PART = 8_192
+#: Candidate groups with more rows are split by PIVOTS of their rows, at most ROUNDS times.
+PART, PIVOTS, ROUNDS = 8_192, 32, 4
 EDGE = np.iinfo(np.int64).min
 #: A task contracts its pairs whenever it holds so many.
 FOREST = 1_000_000
@@ -261,6 +262,23 @@ def _squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.maximum(0, (x**2).sum(1)[:, None] + (y**2).sum(1)[None] - 2 * x @ y.T)
 
 
+def _near(x: np.ndarray, y: np.ndarray, eps: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows of x and y are within eps, as the differences in double precision have it, and the squared distances.
+
+    The distances are a matrix product over the rows from the first one on; where its error could decide, the
+    differences themselves are squared.
+    """
+    x, y = x.astype(np.float64), y.astype(np.float64)
+    a, b = x - x[0], y - x[0]
+    m, n = (a**2).sum(1), (b**2).sum(1)
+    sq = m[:, None] + n[None] - 2 * a @ b.T
+    p, q = np.nonzero(np.abs(sq - eps * eps) <= 1e-12 * (m[:, None] + n[None] + eps * eps))
+    for i in range(0, len(p), 8192):
+        j = slice(i, i + 8192)
+        sq[p[j], q[j]] = ((x[p[j]] - y[q[j]]) ** 2).sum(1)
+    return sq <= eps * eps, np.maximum(sq, 0)
+
+
 def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The smallest index that each of n nodes is connected to."""
     root = np.arange(n)
@@ -275,56 +293,66 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
-def _linked(x: np.ndarray, eps: float) -> np.ndarray:
-    """Exact density clusters of a bounded block: the root of every row of x.
+def _linked(x: np.ndarray, eps: float, label: np.ndarray | None = None) -> np.ndarray:
+    """Exact density clusters of a block: the root of every row of x; rows of one label are joined from the start.
 
-    Rows within eps / 2 of a leader are all within eps of each other; the pairs between leaders' balls
-    are compared only where the leaders' distance leaves it open and nothing has joined them yet.
+    Every row is similar to its leader.  Only leaders within 3 eps of each other can have similar rows, and
+    of these rows only those within 2 eps of the other leader; they are compared where nothing has joined the leaders yet.
     """
     n = len(x)
-    x = x.astype(np.float64) if n <= 64 else x
+    edges = []
+    if label is not None:
+        _, first, own = np.unique(label, return_index=True, return_inverse=True)
+        edges.append(np.stack([first[own], np.arange(n)], 1))
     if n <= 256:
-        a, b = np.nonzero(np.triu(_squares(x, x) <= eps * eps, 1))
-        return _roots(n, a, b)
-    lead, _, _ = _cover(x, eps / 2, 0)
-    at = np.unique(lead)
-    d = np.sqrt(_squares(x[at], x[at]))
-    a, b = np.nonzero(np.triu(d <= eps, 1))
-    edges = [np.stack([lead, np.arange(n)], 1), np.stack([at[a], at[b]], 1)]
+        edges.append(np.stack(np.nonzero(np.triu(_near(x, x, eps)[0], 1)), 1))
+        return _roots(n, *np.concatenate(edges).T)
+    lead, left, at = np.full(n, -1), np.arange(n), []
+    while len(left):
+        close = _near(x[left[:1]], x[left], eps)[0][0]
+        lead[left[close]] = left[0]
+        at.append(left[0])
+        left = left[~close]
+    at = np.array(at)
+    edges.append(np.stack([lead, np.arange(n)], 1))
     root = _roots(n, *np.concatenate(edges).T)
-    p, q = np.nonzero(np.triu((d > eps) & (d <= 2 * eps), 1))
-    order = np.argsort(d[p, q])
-    balls = {int(i): np.flatnonzero(lead == i) for i in np.unique(at[np.concatenate([p, q])])} if len(p) else {}
-    for i in order:
-        u, v = int(at[p[i]]), int(at[q[i]])
+    balls = {int(i): np.flatnonzero(lead == i) for i in at}
+    pairs = []
+    for i in range(0, len(at), 512):
+        d = _near(x[at[i : i + 512]], x[at], eps)[1]
+        p, q = np.nonzero(d <= 9.000001 * eps * eps)
+        keep = p + i < q
+        pairs.append(np.stack([d[p[keep], q[keep]], at[p[keep] + i], at[q[keep]]], 1))
+    pairs = np.concatenate(pairs)
+    for _, u, v in pairs[np.argsort(pairs[:, 0])]:
+        u, v = int(u), int(v)
         if root[u] == root[v]:
             continue
-        m, o = balls[u], balls[v]
-        if any((_squares(x[m[j : j + 512]], x[o]) <= eps * eps).any() for j in range(0, len(m), 512)):
+        m, o = (balls[i][_near(x[j : j + 1], x[balls[i]], eps)[1][0] <= 4.000001 * eps * eps] for i, j in ((u, v), (v, u)))
+        if len(o) and any(_near(x[m[j : j + 512]], x[o], eps)[0].any() for j in range(0, len(m), 512)):
             keep, drop = min(root[u], root[v]), max(root[u], root[v])
             root[root == drop] = keep
     return root
 
 
 def _parts(dim: int, eps: float):
-    """g, id, lead, v sorted by g -> id, lead, root, ball, far, v: exact clusters of each part of a candidate group.
+    """g, id, comp, v sorted by g -> id, comp, root: exact clusters of each group, named by their smallest comp.
 
-    root and ball are ids: of the cluster's smallest row and of the row's leader within eps / 2.  v is
-    kept for leaders of divided groups only (far: the group has several parts).
+    Rows of one comp are known to be one cluster.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _whole_groups(batches, 0):
-            g, ids, lead, many = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            x = _floats(b.column(4), dim)
-            order = np.lexsort((ids, g))
-            g, ids, lead, many, x = g[order], ids[order], lead[order], many[order], x[order]
+            g, ids, comp = (b.column(i).to_numpy() for i in range(3))
+            order = np.lexsort((comp, ids, g))
             fresh = np.ones(len(g), bool)
-            fresh[1:] = (g[1:] != g[:-1]) | (ids[1:] != ids[:-1])
-            g, ids, lead, many, x = g[fresh], ids[fresh], lead[fresh], many[fresh], x[fresh]
+            fresh[1:] = (g[order][1:] != g[order][:-1]) | (ids[order][1:] != ids[order][:-1])
+            order = order[fresh]
+            order = order[np.lexsort((ids[order], comp[order], g[order]))]  # a cluster's least row has its least comp
+            g, ids, comp = g[order], ids[order], comp[order]
+            x = _floats(b.column(3).take(pa.array(order)), dim)
             cuts = np.flatnonzero(np.diff(g)) + 1
             lo, hi = np.append(0, cuts), np.append(cuts, len(g))
-            root = np.arange(len(g))
             small = np.repeat(hi - lo <= SMALL, hi - lo)
             place = np.arange(len(g)) - np.repeat(lo, hi - lo)
             a, c = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
@@ -334,23 +362,125 @@ def _parts(dim: int, eps: float):
                     break
                 for j in range(0, len(i), 8192):
                     k = i[j : j + 8192]
-                    close = ((x[k].astype(np.float64) - x[k - shift]) ** 2).sum(1) <= eps * eps
+                    close = (((x[k].astype(np.float64) - x[k - shift]) ** 2).sum(1) <= eps * eps) | (comp[k] == comp[k - shift])
                     a.append(k[close])
                     c.append(k[close] - shift)
             root = _roots(len(g), np.concatenate(a), np.concatenate(c))
-            ball = np.arange(len(g))
             for i in np.flatnonzero(hi - lo > SMALL):
-                root[lo[i] : hi[i]] = lo[i] + _linked(x[lo[i] : hi[i]], eps)
-            for i in np.flatnonzero(many[lo]):
-                ball[lo[i] : hi[i]] = lo[i] + _cover(x[lo[i] : hi[i]], eps / 2, 0)[0]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids), pa.array(lead), pa.array(ids[root]), pa.array(ids[ball]), pa.array(many), _bytes(x) if many.any() else pa.nulls(len(ids), pa.binary())],
-                names=["id", "lead", "root", "ball", "far", "v"],
-            )
+                root[lo[i] : hi[i]] = lo[i] + _linked(x[lo[i] : hi[i]], eps, comp[lo[i] : hi[i]])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(comp), pa.array(comp[root])], names=["id", "comp", "root"])
 
     return run
 
 
+def _chunks_of(batches: Iterator[pa.RecordBatch], dim: int):
+    """c, kind, g, id, comp, v sorted by c and kind -> (g, (ids, comps, vectors) of the pivots, the same of the rows)."""
+    for b in _whole_groups(batches, 0):
+        c, kind, g, ids, comp = (b.column(i).to_numpy() for i in range(5))
+        cuts = np.flatnonzero(np.diff(c)) + 1
+        for lo, hi in zip(np.append(0, cuts), np.append(cuts, len(c))):
+            x = _floats(b.column(5).slice(lo, hi - lo), dim)
+            n = int((kind[lo:hi] == 0).sum())
+            yield g[lo], (ids[lo : lo + n], comp[lo : lo + n], x[:n]), (ids[lo + n : hi], comp[lo + n : hi], x[n:])
+
+
+def _absorbed(dim: int, eps: float):
+    """Pivots and rows of a chunk -> g, a, b, n_open: which comps a pivot joins, as a forest, and how many rows none is similar to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g, (_, pc, px), (_, rc, rx) in _chunks_of(batches, dim):
+            if not len(rc) or not len(pc):
+                continue
+            close, _ = _near(rx, px, eps)
+            nodes, at = np.unique(np.concatenate([pc, rc]), return_inverse=True)
+            p, q = np.nonzero(close)
+            root = _roots(len(nodes), at[len(pc) + p], at[q])
+            own = np.flatnonzero(root != np.arange(len(nodes)))
+            n = len(own) + 1
+            cols = [np.full(n, g), np.append(nodes[root[own]], 0), np.append(nodes[own], 0), np.append(np.zeros(n - 1, np.int64), (~close.any(1)).sum())]
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in cols], names=["g", "a", "b", "n_open"])
+
+    return run
+
+
+def _spread(dim: int, eps: float):
+    """Pivots and rows of a chunk -> g, id, comp, v: each row in the part of its nearest pivot and of those whose margin it is in.
+
+    Two similar rows of different parts are both within eps of the plane between their pivots, so the row of the earlier
+    pivot is sent to the later one's part too and they meet there.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g, (_, pc, px), (ids, rc, rx) in _chunks_of(batches, dim):
+            if not len(rc) or not len(pc):
+                continue
+            close, sq = _near(rx, px, eps)
+            apart = np.sqrt(_near(px, px, eps)[1])
+            hit = close.any(1)
+            comp = np.where(hit, pc[close.argmax(1)], rc)
+            mine = sq.argmin(1)
+            least = sq[np.arange(len(sq)), mine]
+            margin = sq - least[:, None] <= 2 * eps * apart[mine] * (1 + 1e-9) + 1e-9 * (1 + sq)
+            margin &= np.arange(len(pc))[None] >= mine[:, None]
+            p, q = np.nonzero(margin)
+            part = mix((np.full(len(q), g).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (q.astype(np.uint64) + np.uint64(1))).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(ids[p]), pa.array(comp[p]), _bytes(rx[p])], names=["g", "id", "comp", "v"])
+
+    return run
+
+
+def _solved(work: DataFrame, dim: int, eps: float) -> DataFrame:
+    """(a, b): comps of `work` (g, id, comp, v) that are one cluster, each group in one task."""
+    out = work.select("g", "id", "comp", "v").repartition("g").sortWithinPartitions("g").mapInArrow(_parts(dim, eps), "id bigint, comp bigint, root bigint")
+    return out.where("comp <> root").select(F.col("root").alias("a"), F.col("comp").alias("b")).distinct()
+
+
+def _divided(work: DataFrame, dim: int, eps: float) -> DataFrame:
+    """(a, b): ids of `work` (g, id, v, n), the rows of groups of n > PART rows, that are one cluster, as a forest's edges.
+
+    Every row within eps of a pivot is joined to it, so a dense group is one cluster by its shared core points
+    alone, in as many tasks as it has PART rows.  A group that this does not settle is divided into the cells of its
+    pivots, with margins, and local clusters are merged through the rows that cells share; cells that are
+    still large are divided again, unless they hold nearly all of their group.
+    """
+    scratch = Scratch(work.sparkSession)
+    work = scratch.write(work.select("g", "id", F.col("id").alias("comp"), "v", "n"), "large")
+    edges: list[DataFrame] = []
+    for last in [False] * (ROUNDS - 1) + [True]:
+        h = F.xxhash64("id")
+        pivots = work.groupBy("g", "n", F.pmod(h, F.lit(PIVOTS)).alias("i")).agg(F.min(F.struct(h.alias("h"), "id", "comp", "v")).alias("p"))
+        pivots = scratch.write(pivots.select("g", "n", "p.id", "p.comp", "p.v"), "pivots")
+
+        def chunked(w: DataFrame, pv: DataFrame) -> DataFrame:
+            salts = F.ceil(F.col("n") / PART)
+            r = w.select(F.xxhash64("g", F.pmod(F.xxhash64("id", F.lit(5)), salts)).alias("c"), F.lit(1).alias("kind"), "g", "id", "comp", "v")
+            p = pv.withColumn("s", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1))).select(F.xxhash64("g", "s").alias("c"), F.lit(0).alias("kind"), "g", "id", "comp", "v")
+            return p.unionByName(r).repartition("c").sortWithinPartitions("c", "kind", "id")
+
+        joined = scratch.write(chunked(work, pivots).mapInArrow(_absorbed(dim, eps), "g bigint, a bigint, b bigint, n_open bigint"), "absorbed")
+        edges.append(joined.where("a <> b").select("a", "b"))
+        names = scratch.write(components(edges[-1]), "names")
+        renamed = pivots.join(names, pivots["comp"] == names["node"], "left").select("g", "n", "id", F.coalesce("lead", "comp").alias("comp"), "v")
+        left = joined.groupBy("g").agg(F.sum("n_open").alias("n_open"))
+        open_ = renamed.groupBy("g").agg(F.count_distinct("comp").alias("m")).join(left, "g").where("m > 1 OR n_open > 0").select("g")
+        open_ = scratch.write(open_, "open")
+        if not open_.take(1):
+            break
+        rest = work.join(open_, "g", "left_semi")
+        rest = rest.join(names, rest["comp"] == names["node"], "left").select("g", "id", F.coalesce("lead", "comp").alias("comp"), "v", "n")
+        parts = chunked(rest, renamed.join(open_, "g", "left_semi")).mapInArrow(_spread(dim, eps), "g bigint, id bigint, comp bigint, v binary")
+        parts = scratch.write(parts, "parts")
+        most = work.agg(F.max("n")).first()[0]
+        size = parts.groupBy("g").agg(F.count("*").alias("n"))
+        parts = parts.join(size, "g")
+        again = (F.col("n") > PART) & (F.col("n") < 0.9 * most) & F.lit(not last)
+        edges.append(scratch.write(_solved(parts.where(~again), dim, eps), "solved"))
+        work = scratch.write(parts.where(again).select("g", "id", "comp", "v", "n"), "large")
+        if not work.take(1):
+            break
+    return reduce(DataFrame.union, edges)
+
+
 def density_clusters(rows: DataFrame, eps: float = 2.0, dim: int = 192, id: str = "desc_id", column: str = "d", seed: int = 11) -> DataFrame:
     """(desc_id, cluster_id): the rows in clusters of two or more; cluster_id is the smallest id in it.
 
@@ -369,10 +499,10 @@ def density_clusters(rows: DataFrame, eps: float = 2.0, dim: int = 192, id: str
     2. Within a cell only rows with close sketches become candidates, which a pair at the limit is but for a
        chance of 9e-6.  Dense cells are covered by
        leaders, before the shuffle and after it, so no group's pairs are enumerated.
-    3. Candidates are connected into groups (a superset of the clusters), groups with more than PART rows
-       are divided, and each part is clustered exactly on the whole vectors.
-    4. Parts of a divided group are merged through their leaders: similar leaders join at once; where two balls
-       might touch but aren't joined, their members are compared.
+    3. Candidates are connected into groups (a superset of the clusters), and each is clustered exactly on
+       the whole vectors.
+    4. Groups with more than PART rows are divided spatially, with margins, and their local clusters merged
+       through shared core points (see _divided).
     """
     scratch = Scratch(rows.sparkSession)
     spark = rows.sparkSession
@@ -383,95 +513,25 @@ def density_clusters(rows: DataFrame, eps: float = 2.0, dim: int = 192, id: str
     edges = cells.mapInArrow(_candidates(unit, near, tau), "a bigint, b bigint")
     group = scratch.write(components(edges), "groups")
 
-    sizes = group.groupBy("lead").agg(F.count("*").alias("n")).where(F.col("n") > PART)
-    big = {r["lead"]: r["n"] for r in sizes.collect()} if sizes.take(1) else {}  # at most a row for each PART rows
-    if big:
-        n = spark.createDataFrame(list(big.items()), "lead bigint, n bigint")
-        group = group.join(F.broadcast(n), "lead", "left")  # at most a row for each PART rows
-        part = F.when(F.col("n").isNull(), 0).otherwise(F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / PART)))
-    else:
-        part = F.lit(0)
-    part = part.cast("bigint")
-    group = group.select(F.col("node").alias("id"), "lead", F.xxhash64("lead", part).alias("g"), (F.col("n").isNotNull() if big else F.lit(False)).alias("far"))
-
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at, x = vectors(b.column(1), dim)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), _bytes(x)], names=["id", "v"])
 
-    whole = d.mapInArrow(packed, "id bigint, v binary").join(group, "id").select("g", "id", "lead", "far", "v")
-    whole = whole.repartition("g").sortWithinPartitions("g")
-    local = whole.mapInArrow(_parts(dim, eps), "id bigint, lead bigint, root bigint, ball bigint, far boolean, v binary")
-    if not big:
-        sized = local.select("id", F.col("root").alias("cluster"))
-        sized = scratch.write(sized, "local")
-    else:
-        local = scratch.write(local, "local")
-        merged = _merged(local.where("far"), dim, eps)
-        names = components(merged).withColumnsRenamed({"node": "root", "lead": "cluster"})
-        sized = local.join(names, "root", "left").select("id", F.coalesce("cluster", "root").alias("cluster"))
-    alone = sized.groupBy("cluster").agg(F.count("*").alias("n")).where("n > 1").select("cluster")
-    return sized.join(alone, "cluster", "left_semi").select(F.col("id").alias("desc_id"), F.col("cluster").alias("cluster_id"))
-
-
-def _merged(local: DataFrame, dim: int, eps: float) -> DataFrame:
-    """(a, b): roots of different parts of a divided group that are one cluster."""
-    heads = local.where("id = ball").select("lead", "root", "ball", "v")
-
-    def of_group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Leaders of a group: pairs that are similar (open false) and pairs whose balls may touch (open true)."""
-        for b in _whole_groups(batches, 0):
-            lead, root, ball = (b.column(i).to_numpy() for i in range(3))
-            x = _floats(b.column(3), dim)
-            out: list[list[np.ndarray]] = [[], [], [], [], []]
-            for g in np.unique(lead):
-                at = np.flatnonzero(lead == g)
-                names, own = np.unique(root[at], return_inverse=True)
-                sure: list[tuple[np.ndarray, np.ndarray]] = []
-                maybe: list[tuple[np.ndarray, np.ndarray]] = []
-                for i in range(0, len(at), 512):
-                    dist = np.sqrt(_squares(x[at[i : i + 512]], x[at]))
-                    p, q = np.nonzero(dist <= 2 * eps)
-                    keep = (p + i < q) & (own[p + i] != own[q])
-                    p, q = p[keep], q[keep]
-                    yes = dist[p, q] <= eps
-                    sure.append((p[yes] + i, q[yes]))
-                    maybe.append((p[~yes] + i, q[~yes]))
-                a, c = (np.concatenate(z) for z in zip(*sure))
-                joined = _roots(len(names), own[a], own[c])
-                u, v = (np.concatenate(z) for z in zip(*maybe))
-                apart = joined[own[u]] != joined[own[v]]
-                u, v = u[apart], v[apart]
-                _, once = np.unique(np.sort(np.stack([own[a], own[c]], 1), 1), axis=0, return_index=True)
-                a, c = a[once], c[once]
-                for s, t, is_open in ((a, c, False), (u, v, True)):
-                    out[0].append(root[at[s]])
-                    out[1].append(root[at[t]])
-                    out[2].append(ball[at[s]])
-                    out[3].append(ball[at[t]])
-                    out[4].append(np.full(len(s), is_open))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["a", "b", "ball", "other", "open"])
-
-    scratch = Scratch(local.sparkSession)
-    pairs = heads.repartition("lead").sortWithinPartitions("lead").mapInArrow(of_group, "a bigint, b bigint, ball bigint, other bigint, open boolean")
-    pairs = scratch.write(pairs, "leaders")
-    sure = pairs.where("NOT open").select("a", "b")
-    asked = pairs.where("open").select("a", "b", "ball", "other")
-    members = local.select("ball", "id", "v")
-    theirs = asked.join(members.toDF("other", "id", "w"), "other").select("ball", "a", "b", "w")
-
-    def touch(left: pa.Table, right: pa.Table) -> pa.Table:
-        x = _floats(left.column("v").combine_chunks(), dim)
-        a, b = right.column("a").to_numpy(), right.column("b").to_numpy()
-        hit = np.zeros(len(a), bool)
-        for i in range(0, len(a), 512):
-            y = _floats(right.column("w").slice(i, 512).combine_chunks(), dim)
-            for j in range(0, len(x), 4096):
-                hit[i : i + 512] |= (_squares(y, x[j : j + 4096]) <= eps * eps).any(1)
-        return pa.table({"a": a[hit], "b": b[hit]})
-
-    touching = members.groupBy("ball").cogroup(theirs.groupBy("ball")).applyInArrow(touch, "a bigint, b bigint")
-    return sure.union(touching).distinct()
+    large = scratch.write(group.groupBy("lead").agg(F.count("*").alias("n")).where(F.col("n") > PART), "sizes")
+    some = bool(large.take(1))
+    group = group.select(F.col("node").alias("id"), F.col("lead").alias("g"))
+    v = d.mapInArrow(packed, "id bigint, v binary")
+    ordinary = group.join(large, group["g"] == large["lead"], "left_anti") if some else group
+    whole = v.join(ordinary, "id").select("g", "id", F.col("id").alias("comp"), "v").repartition("g").sortWithinPartitions("g")
+    local = whole.mapInArrow(_parts(dim, eps), "id bigint, comp bigint, root bigint").select("id", F.col("root").alias("cluster"))
+    if some:
+        dense = v.join(group.join(large, group["g"] == large["lead"]), "id").select("g", "id", "v", "n").dropDuplicates(["id"])
+        names = components(_divided(dense, dim, eps)).withColumnsRenamed({"node": "id", "lead": "cluster"})
+        local = local.unionByName(names.select("id", "cluster"))
+    local = scratch.write(local, "local")
+    alone = local.groupBy("cluster").agg(F.count("*").alias("n")).where("n > 1").select("cluster")
+    return local.join(alone, "cluster", "left_semi").select(F.col("id").alias("desc_id"), F.col("cluster").alias("cluster_id"))
 
 
 def cluster_summary(rows: DataFrame, found: DataFrame, typical: int = 3, dim: int = 192, id: str = "desc_id", column: str = "d", slices: int = 64) -> DataFrame:
@@ -505,7 +565,9 @@ def cluster_summary(rows: DataFrame, found: DataFrame, typical: int = 3, dim: in
     sq = F.aggregate(F.zip_with("d", "mean", lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, v: s + v)
     far = mine.join(means, "cluster_id").select("cluster_id", "desc_id", "n", F.round(sq, 9).alias("sq"))
     far = Scratch(rows.sparkSession).write(far, "distances")
-    top = far.withColumn("r", F.row_number().over(W.partitionBy("cluster_id").orderBy("sq", "desc_id"))).where(F.col("r") <= typical)
+    top = far.withColumn("slice", F.pmod(F.xxhash64("desc_id"), F.lit(slices)))
+    for by in (["cluster_id", "slice"], ["cluster_id"]):  # the best of each slice first, so no task sorts a large cluster
+        top = top.withColumn("r", F.row_number().over(W.partitionBy(*by).orderBy("sq", "desc_id"))).where(F.col("r") <= typical)
     top = top.groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("r", "desc_id"))).alias("t"))
     spread = far.groupBy("cluster_id").agg(F.max("n").alias("size"), F.sqrt(F.avg("sq")).alias("spread"))
     ids = F.transform("t", lambda x: x["desc_id"])

@@ -5,6 +5,7 @@ import re
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -68,6 +69,7 @@ def some_vectors(seed=0, hot=0):
 @pytest.mark.parametrize("hot,part", [(0, 8192), (150, 8192), (150, 40)])
 def test_clusters(spark, monkeypatch, hot, part):
     monkeypatch.setattr(clusters, "PART", part)
+    monkeypatch.setattr(clusters, "PIVOTS", 6)
     data = some_vectors(hot, hot)
     odd = [(None, data[0][1]), (9001, None), (9002, [1.0]), (9003, [float("nan")] + [0.0] * 191), (9004, [float("inf")] * 192), (9005, [None] + [0.0] * 191), data[5], (9006, data[5][1]), (9007, [1e30] * 192)]
     df = spark.createDataFrame([(i, d, 0, "x", 1) for i, d in data + odd], D)
@@ -105,6 +107,43 @@ def test_clusters_of_small_norms(spark, norm):
     same(clusters.density_clusters(df), brute_clusters(data))
 
 
+@pytest.mark.parametrize("norm", [1.0, 1000.0])
+def test_distances_at_the_limit(norm):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 192))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True) * norm).astype(np.float32)
+    step = rng.normal(size=(300, 192))
+    y = (x + step / np.linalg.norm(step, axis=1, keepdims=True) * (2 + rng.uniform(-1e-6, 1e-6, (300, 1)))).astype(np.float32)
+    want = ((x[:, None].astype(float) - y[None].astype(float)) ** 2).sum(-1) <= 4
+    assert (clusters._near(x, y, 2.0)[0] == want).all() and 0 < want.sum()
+    both = np.concatenate([x, y])
+    d2 = ((both[:, None].astype(float) - both[None].astype(float)) ** 2).sum(-1)
+    a, b = np.nonzero(np.triu(d2 <= 4, 1))
+    want = clusters._roots(len(both), a, b)
+    for n in (200, 600):
+        at = np.r_[0 : n // 2, 300 : 300 + n // 2]
+        a, b = np.nonzero(np.triu(d2[np.ix_(at, at)] <= 4, 1))
+        assert (clusters._linked(both[at], 2.0) == clusters._roots(len(at), a, b)).all()
+
+
+@pytest.mark.parametrize("spread", [0.07, 0.1, 0.5])
+def test_divided_groups(spark, monkeypatch, spread):
+    monkeypatch.setattr(clusters, "PART", 60)
+    monkeypatch.setattr(clusters, "PIVOTS", 5)
+    rng = np.random.default_rng(int(spread * 100))
+    walk = np.cumsum(rng.normal(size=(250, 192)) * 0.1, 0)  # a long thin group
+    x = np.concatenate([rng.normal(size=(250, 192)) * spread, walk]).astype(np.float32)
+    d2 = ((x[:, None].astype(float) - x[None].astype(float)) ** 2).sum(-1)
+    a, b = np.nonzero(np.triu(d2 <= 4, 1))
+    want = clusters._roots(len(x), a, b)
+    at = iter([pa.RecordBatch.from_arrays([clusters._bytes(x)], names=["v"])])
+    rows_ = [(1 if i < 250 else 2, i, v, 250) for i, v in enumerate(next(at).column(0).to_pylist())]
+    edges = rows(clusters._divided(spark.createDataFrame(rows_, "g bigint, id bigint, v binary, n bigint"), 192, 2.0))
+    got = clusters._roots(len(x), np.array([e[0] for e in edges], int), np.array([e[1] for e in edges], int))
+    one = [clusters._roots(250, *np.nonzero(np.triu(d2[i : i + 250, i : i + 250] <= 4, 1))) + i for i in (0, 250)]
+    assert (got == np.concatenate(one)).all()
+
+
 def test_linked_large_block():
     data = np.array([d for _, d in some_vectors(3, 400)], np.float32)
     d2 = ((data[:, None] - data[None]) ** 2).sum(-1)
