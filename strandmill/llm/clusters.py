@@ -563,11 +563,11 @@ def cluster_summary(rows: DataFrame, found: DataFrame, typical: int = 3, dim: in
     part = mine.select("cluster_id", "d").mapInArrow(sums, "cluster_id bigint, n bigint, s binary")
     means = part.repartition("cluster_id").sortWithinPartitions("cluster_id").mapInArrow(united, "cluster_id bigint, n bigint, mean array<double>")
     sq = F.aggregate(F.zip_with("d", "mean", lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, v: s + v)
-    far = mine.join(means, "cluster_id").select("cluster_id", "desc_id", "n", F.round(sq, 9).alias("sq"))
+    far = mine.join(means, "cluster_id").select("cluster_id", "desc_id", "n", sq.alias("sq"))
     far = Scratch(rows.sparkSession).write(far, "distances")
     top = far.withColumn("slice", F.pmod(F.xxhash64("desc_id"), F.lit(slices)))
     for by in (["cluster_id", "slice"], ["cluster_id"]):  # the best of each slice first, so no task sorts a large cluster
-        top = top.withColumn("r", F.row_number().over(W.partitionBy(*by).orderBy("sq", "desc_id"))).where(F.col("r") <= typical)
+        top = top.withColumn("r", F.row_number().over(W.partitionBy(*by).orderBy(F.round("sq", 7), "desc_id"))).where(F.col("r") <= typical)
     top = top.groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("r", "desc_id"))).alias("t"))
     spread = far.groupBy("cluster_id").agg(F.max("n").alias("size"), F.sqrt(F.avg("sq")).alias("spread"))
     ids = F.transform("t", lambda x: x["desc_id"])

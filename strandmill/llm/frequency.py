@@ -96,7 +96,7 @@ def token_counts(tokens: DataFrame, sizes: DataFrame, rare: int = 3, common: flo
     batch before; the two tables of counts have no value in common and are united.
     """
     scratch = Scratch(tokens.sparkSession)
-    some = tokens.where(F.col(column).isNotNull()).select("tag", "level", F.col(column).alias("v")).limit(SAMPLE)
+    some = tokens.where(F.col(column).isNotNull()).select("tag", "level", F.col(column).alias("v"), F.xxhash64("tag", "level", "pid").alias("h")).orderBy("h").limit(SAMPLE)
     freq = some.select("tag", "level", F.explode("v").alias("token")).where("token IS NOT NULL").groupBy("tag", "level", "token").agg(F.count("*").alias("n"))
     found: dict[tuple, list[tuple[int, int]]] = {}
     total = freq.groupBy("tag", "level").agg(F.sum("n").alias("all"))

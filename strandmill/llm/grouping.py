@@ -151,3 +151,20 @@ def assign(pids: DataFrame, grouped: DataFrame, labels: DataFrame, targets: Data
         mid = rest.withColumn("run", run).join(before, ["by", "slice"]).withColumn("mid", F.col("run") + F.col("before") - F.col("c") / 2)
         small = mid.join(F.broadcast(table), (mid["by"] == table["by"]) & (F.col("mid") >= F.col("lo")) & (F.col("mid") < F.col("hi"))).select("lead_pid", "bucket")
     return mine.join(fixed.unionByName(small), "lead_pid").select("pid", "lead_pid", "bucket")
+
+
+def assignment_report(assigned: DataFrame, labels: DataFrame, targets: DataFrame) -> DataFrame:
+    """(bucket, label, n, share, target, deviation): how near an assignment (pid, bucket) comes to the targets.
+
+    One row for each bucket and label of the assigned pids, and one with a null label for the bucket as a
+    whole; buckets without pids have n 0.  target is the bucket's share scaled to sum to 1, deviation share - target.
+    """
+    goal = targets.select(name("bucket").alias("bucket"), F.greatest(F.coalesce("share", F.lit(0.0)), F.lit(0.0)).alias("s")).where("bucket IS NOT NULL").groupBy("bucket").agg(F.max("s").alias("s"))
+    goal = goal.join(F.broadcast(goal.agg(F.sum("s").alias("all"))), how="cross").select("bucket", (F.col("s") / F.col("all")).alias("target"))  # one row
+    a = assigned.select("pid", "bucket").join(labels.distinct(), "pid", "left").select("pid", "bucket", F.coalesce("label", F.lit("none")).alias("label"))
+    per = a.groupBy("bucket", "label").agg(F.count("*").alias("n")).unionByName(assigned.groupBy("bucket").agg(F.count("*").alias("n")).withColumn("label", F.lit(None).cast("string")))
+    total = per.groupBy("label").agg(F.sum("n").alias("all"))
+    every = total.join(F.broadcast(goal), how="cross")  # labels x buckets
+    have = per.select(F.col("bucket").alias("b"), F.col("label").alias("l"), F.col("n").alias("m"))
+    out = every.join(have, F.col("label").eqNullSafe(F.col("l")) & (F.col("bucket") == F.col("b")), "left").select("bucket", "label", F.coalesce("m", F.lit(0)).alias("n"), "all", "target")
+    return out.select("bucket", "label", "n", (F.col("n") / F.col("all")).alias("share"), "target", (F.col("n") / F.col("all") - F.col("target")).alias("deviation"))

@@ -3,43 +3,50 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandmill.llm.packed import inside, mix
+from strandmill.session import Scratch
 
 SPAN = 13
 #: Spans of fewer words are found only whole.
 LEAST = 8
-#: Looked-up spans are verified in parts of about so many.
-PART = 1_000_000
-#: Held-out texts are looked up in blocks of at most so many, each broadcast.
-BLOCK = 20_000
-#: A word stands for itself if it occurs in the held-out texts; all others are OTHER.
-OTHER = -1
-
-
-def _words(texts: list, vocabulary: dict[str, int], grow: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Word ids of all texts in a row, and where each text ends."""
-    import regex
-
-    word = regex.compile(r"[\p{L}\p{N}]+")
-    ids: list[int] = []
-    ends = [0]
-    for t in texts:
-        if t:
-            found = word.findall(t.lower())
-            if grow:
-                ids.extend(vocabulary.setdefault(w, len(vocabulary)) for w in found)
-            else:
-                ids.extend(vocabulary.get(w, OTHER) for w in found)
-        ends.append(len(ids))
-    return np.array(ids, np.int64), np.array(ends, np.int64)
+#: Bits of the filters of the held-out words and of their spans; both are of this size whatever the data's.
+WORD_BITS, SPAN_BITS = 22, 26
+#: The words' numbers that a task keeps at hand.
+CACHE = 1_000_000
+
+
+class _Words:
+    """Words of texts, and a 64-bit number for each."""
+
+    def __init__(self):
+        import regex
+
+        self.pattern, self.number = regex.compile(r"[\p{L}\p{N}]+"), {}
+
+    def of(self, texts: list) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """All words in a row, their numbers, and where each text ends."""
+        import xxhash
+
+        if len(self.number) > CACHE:
+            self.number.clear()
+        words: list[str] = []
+        ends = [0]
+        for t in texts:
+            if t:
+                words.extend(self.pattern.findall(t.lower()))
+            ends.append(len(words))
+        number = self.number
+        for w in set(words).difference(number):
+            number[w] = xxhash.xxh64_intdigest(w)
+        return words, np.fromiter(map(number.__getitem__, words), np.uint64, len(words)), np.array(ends, np.int64)
 
 
 def _masks(span: int, most_differing: int) -> list[list[int]]:
@@ -54,94 +61,95 @@ def _masks(span: int, most_differing: int) -> list[list[int]]:
     return [[p for p in range(span) if p % groups in two] for two in combinations(range(groups), 2)]
 
 
-def _hash(ids: np.ndarray, at: np.ndarray, kept: list[int], salt: int) -> np.ndarray:
+def _hash(ids: np.ndarray, at: np.ndarray, kept: list[int], span: int) -> np.ndarray:
+    """A hash of the kept words of the spans from `at`, of the mask and of the span's length."""
+    salt = hash((span, *kept)) & 0xFFFFFFFFFFFFFFFF
     h = np.full(len(at), np.uint64(salt), np.uint64)
     for p in kept:
-        h = h * np.uint64(0x9E3779B97F4A7C15) + (ids[at + p].view(np.uint64) + np.uint64(2))
+        h = h * np.uint64(0x9E3779B97F4A7C15) + ids[at + p]
         h ^= h >> np.uint64(29)
     return mix(h)
 
 
-class _Index:
-    """Hashes of the held-out spans under every mask."""
-
-    def __init__(self, items: list[tuple[int, str]], span: int, most_differing: int):
-        self.vocabulary: dict[str, int] = {}
-        self.ids, self.ends = _words([t for _, t in items], self.vocabulary, grow=True)
-        self.item = np.array([i for i, _ in items], np.int64)
-        lens = np.diff(self.ends)
-        self.seeds = []
-        for n in np.unique(np.minimum(lens, span)):
-            if n == 0:
-                continue
-            ok = lens >= span if n == span else lens == n
-            starts = np.flatnonzero(inside(self.ends, int(n)))
-            doc = np.searchsorted(self.ends, starts, side="right") - 1
-            starts, doc = starts[ok[doc]], doc[ok[doc]]
-            for mask in _masks(int(n), most_differing):
-                h = _hash(self.ids, starts, mask, int(n))
-                order = np.argsort(h, kind="stable")
-                self.seeds.append((int(n), mask, h[order], starts[order].astype(np.int32), doc[order].astype(np.int32)))
-
-
-def _parts(count: np.ndarray) -> Iterator[slice]:
-    """Slices of `count` that sum to PART at most, or are one long."""
-    ends, i = np.cumsum(count), 0
-    while i < len(count):
-        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + PART, side="right")))
-        yield slice(i, j)
-        i = j
-
-
-def _search(index: _Index, most_differing: int):
+def _bit(x: np.ndarray, bits: int) -> np.ndarray:
+    return (x >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _spans(span: int, most_differing: int):
+    """item_id, text -> h, n, item_id, words: the spans of the items under every mask, each once for an item."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words_of = _Words()
         for b in batches:
-            ids, ends = _words(b.column(1).to_pylist(), index.vocabulary)
-            known, whole = ids != OTHER, {}
-            found = []
-            for n, mask, hashes, starts, item in index.seeds:
-                if n not in whole:
-                    whole[n] = inside(ends, n)
-                ok = whole[n].copy()
-                for p in mask:
-                    ok &= known[p : p + len(ok)]
-                at = np.flatnonzero(ok)
-                if not len(at):
+            words, ids, ends = words_of.of(b.column(1).to_pylist())
+            lens = np.diff(ends)
+            for n in np.unique(np.minimum(lens, span)):
+                if not n:
                     continue
-                h = _hash(ids, at, mask, n)
-                lo, hi = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
-                hit = hi > lo
-                at, lo, hi = at[hit], lo[hit], hi[hit]
-                if not len(at):
+                ok = lens >= span if n == span else lens == n
+                at = np.flatnonzero(inside(ends, int(n)))
+                doc = np.searchsorted(ends, at, side="right") - 1
+                at, doc = at[ok[doc]], doc[ok[doc]]
+                text = [" ".join(words[i : i + n]) for i in at]
+                once = list(dict(zip(zip(doc.tolist(), text), range(len(at)))).values())  # a repeated span counts once
+                at, doc, text = at[once], doc[once], [text[i] for i in once]
+                for mask in _masks(int(n), most_differing):
+                    h = _hash(ids, at, mask, int(n)).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(at), n, np.int32)), b.column(0).take(pa.array(doc)), pa.array(text, pa.string())], names=["h", "n", "item_id", "words"])
+
+    return run
+
+
+def _filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """h, words -> block, bits: which words and which hashes there are, as bit sets in blocks of equal size."""
+    words_of, span, word = _Words(), np.zeros(1 << SPAN_BITS, bool), np.zeros(1 << WORD_BITS, bool)
+    for b in batches:
+        span[_bit(b.column(0).to_numpy().view(np.uint64), SPAN_BITS)] = True
+        word[_bit(words_of.of(b.column(1).to_pylist())[1], WORD_BITS)] = True
+    size = 1 << WORD_BITS
+    blocks = [(i, span[i * size : (i + 1) * size]) for i in range(len(span) // size)] + [(-1, word)]
+    blocks = [(i, x) for i, x in blocks if x.any()]
+    yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in blocks], pa.int32()), pa.array([np.packbits(x).tobytes() for _, x in blocks], pa.binary())], names=["block", "bits"])
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, np.ndarray] = {}
+    for b in batches:
+        for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            x = np.frombuffer(v, np.uint8)
+            total[i] = total[i] | x if i in total else x
+    for i, x in total.items():
+        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["block", "bits"])
+
+
+def _candidates(filters: Broadcast, spans: list[int], most_differing: int):
+    """doc_id, text -> h, n, doc_id, at, words: the spans that the filters let pass, under each mask that finds them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words_of = _Words()
+        span, word = (np.unpackbits(np.frombuffer(x, np.uint8)).view(bool) for x in filters.value)
+        for b in batches:
+            words, ids, ends = words_of.of(b.column(1).to_pylist())
+            known = word[_bit(ids, WORD_BITS)]
+            for n in spans:
+                whole = inside(ends, n)
+                if not len(whole):
                     continue
-                for part in _parts(hi - lo):
-                    count = (hi - lo)[part]
-                    mine = np.repeat(at[part], count)
-                    theirs = np.repeat(lo[part] - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
-                    differ = np.zeros(len(mine), np.int64)
-                    for p in range(n):
-                        differ += ids[mine + p] != index.ids[starts[theirs] + p]
-                    good = differ <= (most_differing if n >= LEAST else 0)
-                    mine, theirs, differ = mine[good], theirs[good], differ[good]
-                    doc = np.searchsorted(ends, mine, side="right") - 1
-                    found.append(np.stack([doc, index.item[item[theirs]], differ, mine - ends[doc], np.full(len(doc), n)], 1))
-            if not found:
-                continue
-            x = np.concatenate(found)
-            if not len(x):
-                continue
-            x = x[np.lexsort((x[:, 3], x[:, 2], x[:, 1], x[:, 0]))]
-            first = np.ones(len(x), bool)
-            first[1:] = (x[1:, 0] != x[:-1, 0]) | (x[1:, 1] != x[:-1, 1])
-            group = np.cumsum(first) - 1
-            spots = np.unique(group * np.int64(1 << 40) + x[:, 3])
-            n_spots = np.bincount(spots >> 40, minlength=group[-1] + 1)
-            x = x[first]
-            ints = lambda v, t=pa.int64(): pa.array(v, t)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(x[:, 0])), ints(x[:, 1]), ints(x[:, 2], pa.int32()), ints(x[:, 3], pa.int32()), ints(x[:, 4], pa.int32()), ints(n_spots, pa.int32())],
-                names=["doc_id", "item_id", "differing", "first_word", "span", "n_spots"],
-            )
+                for mask in _masks(n, most_differing):
+                    ok = whole.copy()
+                    for p in mask:
+                        ok &= known[p : p + len(ok)]
+                    at = np.flatnonzero(ok)
+                    h = _hash(ids, at, mask, n)
+                    hit = span[_bit(h, SPAN_BITS)]
+                    at, h = at[hit], h[hit]
+                    if not len(at):
+                        continue
+                    doc = np.searchsorted(ends, at, side="right") - 1
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(h.view(np.int64)), pa.array(np.full(len(at), n, np.int32)), b.column(0).take(pa.array(doc)), pa.array((at - ends[doc]).astype(np.int32)), pa.array([" ".join(words[i : i + n]) for i in at], pa.string())],
+                        names=["h", "n", "doc_id", "at", "words"],
+                    )
 
     return run
 
@@ -156,28 +164,32 @@ def leaked(documents: DataFrame, items: DataFrame, span: int = SPAN, most_differ
     these limits is missed: the masks together ignore every choice of most_differing positions.
 
     Words are runs of letters and digits of the lower-cased text.  Cases: null and empty texts hold
-    and are no passages; texts are searched whole at any length; repeated documents and items give
-    repeated pairs once for each distinct (doc_id, item_id) and batch, removed here; empty tables give
-    no rows; further columns are ignored.
+    and are no passages; texts are searched whole at any length; repeated documents and items count
+    once; null ids are left out; empty tables give no rows; further columns are ignored.
 
     Masks ignore some word positions each, so that replaced words leave the hash of another mask
-    equal.  Hashes of the items' spans are looked up in blocks of at most BLOCK items, each
-    broadcast; every document is read once for each block and nothing of the corpus is shuffled
-    but the pairs found.  Each hit is verified word by word.
+    equal.  The items' spans are a table of hashes; two bit sets of fixed size, of their words and of their hashes, are
+    broadcast, every document is read once, and only the spans that both let pass are shuffled to meet the
+    items' under their hash.  Each meeting is verified word by word.
     """
     spark = documents.sparkSession
-    held = items.select(F.col("item_id").cast("bigint").alias("i"), F.col("text").alias("t")).where("i IS NOT NULL AND t IS NOT NULL").distinct()
-    blocks = -(-held.count() // (BLOCK // 2)) or 1
-    d = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text IS NOT NULL")
-    schema = "doc_id bigint, item_id bigint, differing int, first_word int, span int, n_spots int"
-    parts = []
-    for k in range(blocks):
-        mine = held.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k) if blocks > 1 else held
-        rows = [(r[0], r[1]) for r in mine.collect()]
-        if rows:
-            parts.append(d.mapInArrow(_search(_Index(rows, span, most_differing), most_differing), schema))
-    if not parts:
+    schema = "doc_id bigint, item_id bigint, differing int, first_word int, span int, n_spots bigint"
+    held = items.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
+    table = Scratch(spark).write(held.mapInArrow(_spans(span, most_differing), "h bigint, n int, item_id bigint, words string").distinct(), "spans")
+    spans = sorted(r[0] for r in table.select("n").distinct().collect())  # at most `span` of them
+    if not spans:
         return spark.createDataFrame([], schema)
-    found = reduce(DataFrame.unionByName, parts)
-    best = found.groupBy("doc_id", "item_id").agg(F.min(F.struct("differing", "first_word", "span")).alias("b"), F.max("n_spots").alias("n_spots"))
+    blocks = table.select("h", "words").mapInArrow(_filters, "block int, bits binary").repartition("block").mapInArrow(_united, "block int, bits binary")
+    size = (1 << WORD_BITS) // 8
+    bits = {r[0]: bytes(r[1]) for r in blocks.collect()}  # of fixed size
+    whole = b"".join(bits.get(i, bytes(size)) for i in range(1 << (SPAN_BITS - WORD_BITS)))
+    filters = spark.sparkContext.broadcast((whole, bits[-1]))
+    d = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
+    found = d.mapInArrow(_candidates(filters, spans, most_differing), "h bigint, n int, doc_id bigint, at int, words string")
+    met = found.hint("merge").join(table.withColumnRenamed("words", "theirs"), ["h", "n"])
+    differing = F.size(F.filter(F.zip_with(F.split("words", " "), F.split("theirs", " "), lambda a, b: a != b), lambda x: x))
+    met = met.select("doc_id", "item_id", "at", "n", F.when(F.col("words") == F.col("theirs"), 0).otherwise(differing).alias("differing"))
+    met = met.where(F.col("differing") <= F.when(F.col("n") >= LEAST, most_differing).otherwise(0))
+    spots = met.groupBy("doc_id", "item_id", "at").agg(F.min(F.struct("differing", F.col("at").alias("first_word"), F.col("n").alias("span"))).alias("b"))
+    best = spots.groupBy("doc_id", "item_id").agg(F.min("b").alias("b"), F.count("*").alias("n_spots"))
     return best.select("doc_id", "item_id", "b.differing", "b.first_word", "b.span", "n_spots")

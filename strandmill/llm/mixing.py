@@ -21,21 +21,25 @@ SLICES = 1024
 
 
 @lru_cache(maxsize=2)
-def _encoding(path: str):
+def _encoding(table: bytes):
     import base64
 
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, table.splitlines())}
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def sized(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, source, tokens): the size of every document in tokens; source in normal form, null text 0."""
+    """(doc_id, source, tokens): the size of every document in tokens; source in normal form, null text 0.
+
+    The vocabulary is read here, by the driver, and broadcast: its size is that of a public file, whatever the data's.
+    """
+    with open(vocabulary, "rb") as f:
+        table = documents.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _encoding(vocabulary)
+        enc = _encoding(table.value)
         for b in batches:
             sizes = [len(enc.encode_ordinary(t)) if t else 0 for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64())], names=["doc_id", "source", "tokens"])

@@ -69,11 +69,11 @@ def text_stats(documents: DataFrame, common_words: DataFrame, text: str = "text"
     if len(words) <= MAX_IN_PLACE:
         d = d.withColumn("n_common", F.size(F.filter("words", lambda w: w.isin(words))) if words else F.when(F.col("t").isNotNull(), 0))
     else:
-        hits = (
-            d.select("doc_id", F.explode("words").alias("w")).groupBy("doc_id", "w").agg(F.count("*").alias("n"))
-            .join(known, "w").groupBy("doc_id").agg(F.sum("n").alias("n_common"))
-        )
-        d = d.join(hits, "doc_id", "left").withColumn("n_common", F.coalesce("n_common", F.lit(0)))
+        # the number hangs on the text alone, so every distinct text is looked up once, under its digest
+        d = d.withColumn("digest", F.sha2("t", 256))
+        texts = d.where("t IS NOT NULL").dropDuplicates(["digest"]).select("digest", F.explode("words").alias("w")).groupBy("digest", "w").agg(F.count("*").alias("n"))
+        hits = texts.join(known, "w").groupBy("digest").agg(F.sum("n").alias("n_common"))
+        d = d.join(hits, "digest", "left").withColumn("n_common", F.when(F.col("t").isNotNull(), F.coalesce("n_common", F.lit(0)))).drop("digest")
     lines = F.filter(F.transform(F.split("t", "\n"), lambda x: F.trim(x, F.lit(BLANK))), lambda x: x != "")
     blank = r"[ \t\r\n\u00a0]"
     paragraphs = F.filter(F.transform(F.split("t", r"\n[ \t\r\u00a0]*\n"), lambda x: F.trim(x, F.lit(BLANK))), lambda x: x != "")

@@ -86,7 +86,7 @@ def _salt(field: str, tag: list, level: list) -> np.ndarray:
 
 
 def _cut_points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """field, tag, level, doc, packed -> k, at: the document's 31-bit tag and the position; negative if decided."""
+    """field, tag, level, doc, packed -> k, doc, pos: the cut points; -2 - pos if decided."""
     for field, b, values, ends in _chunks(batches, 0, 4):
         span, k = WINDOWS[field]
         h = gear(values, k)
@@ -98,11 +98,8 @@ def _cut_points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = at[keep]
         row = document(ends, at)
         digest = mix(h[at] ^ _salt(field, b.column(1).to_pylist(), b.column(2).to_pylist())[row]).view(np.int64)
-        doc = b.column(3).to_numpy()[row] & np.int64(0x7FFFFFFF)
-        where = at - ends[row]
-        key_, doc, where, done = _combined(digest, doc, where)
-        at = (doc << 32) | (where & 0xFFFFFFFF) | np.where(done, np.iinfo(np.int64).min, 0)
-        yield pa.RecordBatch.from_arrays([pa.array(key_), pa.array(at)], names=["k", "at"])
+        key_, doc, where, done = _combined(digest, b.column(3).to_numpy()[row], at - ends[row])
+        yield pa.RecordBatch.from_arrays([pa.array(key_), pa.array(doc), pa.array(np.where(done, -2 - where, where).astype(np.int32))], names=["k", "doc", "pos"])
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,21 +161,17 @@ def shared_spans(backbones: DataFrame, tokens: DataFrame) -> DataFrame:
     rows = elements(backbones, tokens)
     doc = F.xxhash64("field", "tag", "level", "pid").alias("doc")
     keyed = rows.select("field", "tag", "level", doc, "packed")
-    marks = keyed.mapInArrow(_cut_points, "k bigint, at bigint")
-    low, tag = F.col("at").bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint")), F.shiftright(F.col("at").bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF).cast("bigint")), 32)
     w = W.partitionBy("k")
-    marks = marks.withColumn("tag31", tag)
-    marks = marks.withColumn("shared", (F.col("at") < 0) | (F.min("tag31").over(w) < F.max("tag31").over(w)))
-    points = marks.where("shared").select("tag31", F.when(low <= 0x7FFFFFFF, low).cast("int").alias("p")).where("p IS NOT NULL")
-    points = Scratch(backbones.sparkSession).write(points.groupBy("tag31").agg(F.collect_set("p").alias("at")), "points")
+    several = (F.col("pos") < -1) | (F.min("doc").over(w) < F.max("doc").over(w))
+    place = F.when(F.col("pos") < 0, -2 - F.col("pos")).otherwise(F.col("pos"))
+    marks = keyed.mapInArrow(_cut_points, "k bigint, doc bigint, pos int").withColumn("shared", several).where("shared AND pos <> -1")
+    points = Scratch(backbones.sparkSession).write(marks.select("doc", place.alias("p")).groupBy("doc").agg(F.collect_set("p").alias("at")), "points")
     # one shuffle of the texts serves both the choice of a pid's row and the join with its points
-    parted = rows.select("field", "tag", "level", "pid", doc, "packed").withColumn("tag31", F.col("doc").bitwiseAND(F.lit(0x7FFFFFFF).cast("bigint"))).repartition("tag31")
-    best = parted.groupBy("tag31", "doc", "field", "tag", "level", "pid").agg(F.max(F.struct(F.length("packed").alias("n"), "packed")).alias("x"))
-    best = best.select("tag31", "doc", "field", "tag", "level", "x.packed")
-    wanted = best.join(points, "tag31")
+    parted = rows.select("field", "tag", "level", "pid", doc, "packed").repartition("doc")
+    best = parted.groupBy("doc", "field", "tag", "level", "pid").agg(F.max(F.struct(F.length("packed").alias("n"), "packed")).alias("x"))
+    wanted = best.select("doc", "field", "tag", "level", "x.packed").join(points, "doc")
     found = wanted.select("field", "tag", "level", "doc", "packed", "at").mapInArrow(_windows, "k bigint, doc bigint, pos int")
-    found = found.withColumn("shared", (F.col("pos") < -1) | (F.min("doc").over(w) < F.max("doc").over(w))).where("shared AND pos <> -1")
-    found = found.select("doc", F.when(F.col("pos") < 0, -2 - F.col("pos")).otherwise(F.col("pos")).alias("pos"))
+    found = found.withColumn("shared", several).where("shared AND pos <> -1").select("doc", place.alias("pos"))
     starts = found.groupBy("doc").agg(F.collect_list("pos").alias("starts"))
     ids = backbones.select(F.lit("seq").alias("field"), F.lit("").alias("tag"), F.lit(-1).alias("level"), key("pid").alias("pid"))
     ids = ids.unionByName(tokens.select(F.lit("tokens").alias("field"), "tag", "level", key("pid").alias("pid")))
