@@ -123,7 +123,10 @@ def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _candidates(filters: Broadcast, spans: list[int], most_differing: int):
-    """doc_id, text -> h, n, doc_id, at, words: the spans that the filters let pass, under each mask that finds them."""
+    """doc_id, text -> h, n, doc_id, at, run, words: the spans that the filters let pass, under each mask that finds them.
+
+    Their words follow once for each run of words that such spans cover, in rows without h; run is its first word's place.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words_of = _Words()
@@ -131,6 +134,7 @@ def _candidates(filters: Broadcast, spans: list[int], most_differing: int):
         for b in batches:
             words, ids, ends = words_of.of(b.column(1).to_pylist())
             known = word[_bit(ids, WORD_BITS)]
+            found = []
             for n in spans:
                 whole = inside(ends, n)
                 if not len(whole):
@@ -140,16 +144,38 @@ def _candidates(filters: Broadcast, spans: list[int], most_differing: int):
                     for p in mask:
                         ok &= known[p : p + len(ok)]
                     at = np.flatnonzero(ok)
-                    h = _hash(ids, at, mask, n)
-                    hit = span[_bit(h, SPAN_BITS)]
-                    at, h = at[hit], h[hit]
-                    if not len(at):
-                        continue
-                    doc = np.searchsorted(ends, at, side="right") - 1
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(h.view(np.int64)), pa.array(np.full(len(at), n, np.int32)), b.column(0).take(pa.array(doc)), pa.array((at - ends[doc]).astype(np.int32)), pa.array([" ".join(words[i : i + n]) for i in at], pa.string())],
-                        names=["h", "n", "doc_id", "at", "words"],
-                    )
+                    h = _hash(ids, at, mask, n).view(np.int64)
+                    hit = span[_bit(h.view(np.uint64), SPAN_BITS)]
+                    found.append(np.stack([h[hit], at[hit], np.full(int(hit.sum()), n)], 1))
+            x = np.concatenate(found) if found else np.empty((0, 3), np.int64)
+            if not len(x):
+                continue
+            change = np.zeros(len(words) + 1, np.int64)
+            np.add.at(change, x[:, 1], 1)
+            np.add.at(change, x[:, 1] + x[:, 2], -1)
+            covered = np.cumsum(change[:-1]) > 0
+            begins = covered.copy()
+            begins[1:] &= ~covered[:-1]
+            edge = ends[:-1][ends[:-1] < len(words)]
+            begins[edge] = covered[edge]
+            first = np.flatnonzero(begins)
+            length = np.add.reduceat(covered, first) if len(first) else first
+            mine = first[np.searchsorted(first, x[:, 1], side="right") - 1]
+            start = np.concatenate([x[:, 1], first])
+            doc = np.searchsorted(ends, start, side="right") - 1
+            ints = lambda v: pa.array(v.astype(np.int32))
+            none = np.zeros(len(first), bool)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.append(x[:, 0], first), mask=np.append(np.zeros(len(x), bool), ~none)),
+                    ints(np.append(x[:, 2], none)),
+                    b.column(0).take(pa.array(doc)),
+                    ints(start - ends[doc]),
+                    ints(np.append(mine, first) - ends[doc]),
+                    pa.array([None] * len(x) + [" ".join(words[i : i + m]) for i, m in zip(first, length)], pa.string()),
+                ],
+                names=["h", "n", "doc_id", "at", "run", "words"],
+            )
 
     return run
 
@@ -169,8 +195,8 @@ def leaked(documents: DataFrame, items: DataFrame, span: int = SPAN, most_differ
 
     Masks ignore some word positions each, so that replaced words leave the hash of another mask
     equal.  The items' spans are a table of hashes; two bit sets of fixed size, of their words and of their hashes, are
-    broadcast, every document is read once, and only the spans that both let pass are shuffled to meet the
-    items' under their hash.  Each meeting is verified word by word.
+    broadcast, every document is read once, and only the hashes of the spans that both let pass are shuffled to meet the
+    items' under the same hash.  Each meeting is verified word by word.
     """
     spark = documents.sparkSession
     schema = "doc_id bigint, item_id bigint, differing int, first_word int, span int, n_spots bigint"
@@ -185,10 +211,14 @@ def leaked(documents: DataFrame, items: DataFrame, span: int = SPAN, most_differ
     whole = b"".join(bits.get(i, bytes(size)) for i in range(1 << (SPAN_BITS - WORD_BITS)))
     filters = spark.sparkContext.broadcast((whole, bits[-1]))
     d = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    found = d.mapInArrow(_candidates(filters, spans, most_differing), "h bigint, n int, doc_id bigint, at int, words string")
-    met = found.hint("merge").join(table.withColumnRenamed("words", "theirs"), ["h", "n"])
-    differing = F.size(F.filter(F.zip_with(F.split("words", " "), F.split("theirs", " "), lambda a, b: a != b), lambda x: x))
-    met = met.select("doc_id", "item_id", "at", "n", F.when(F.col("words") == F.col("theirs"), 0).otherwise(differing).alias("differing"))
+    found = d.mapInArrow(_candidates(filters, spans, most_differing), "h bigint, n int, doc_id bigint, at int, run int, words string")
+    found = Scratch(spark).write(found, "candidates")
+    met = found.where("h IS NOT NULL").select("h", "n", "doc_id", "at", "run").hint("merge").join(table.withColumnRenamed("words", "theirs"), ["h", "n"])
+    met = met.select("doc_id", "run", "at", "n", "item_id", "theirs").distinct()  # several masks find most of them
+    texts = found.where("h IS NULL").select("doc_id", "run", F.split("words", " ").alias("words")).distinct()
+    met = met.join(texts, ["doc_id", "run"]).withColumn("mine", F.slice("words", F.col("at") - F.col("run") + 1, F.col("n")))
+    differing = F.size(F.filter(F.zip_with("mine", F.split("theirs", " "), lambda a, b: ~a.eqNullSafe(b)), lambda x: x))
+    met = met.select("doc_id", "item_id", "at", "n", differing.alias("differing"))
     met = met.where(F.col("differing") <= F.when(F.col("n") >= LEAST, most_differing).otherwise(0))
     spots = met.groupBy("doc_id", "item_id", "at").agg(F.min(F.struct("differing", F.col("at").alias("first_word"), F.col("n").alias("span"))).alias("b"))
     best = spots.groupBy("doc_id", "item_id").agg(F.min("b").alias("b"), F.count("*").alias("n_spots"))
