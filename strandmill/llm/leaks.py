@@ -75,6 +75,11 @@ def _bit(x: np.ndarray, bits: int) -> np.ndarray:
     return (x >> np.uint64(64 - bits)).astype(np.int64)
 
 
+def _in(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the bits of a packed bit set are on."""
+    return (table[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+
+
 def _spans(span: int, most_differing: int):
     """item_id, text -> h, n, item_id, words: the spans of the items under every mask, each once for an item."""
 
@@ -130,10 +135,10 @@ def _candidates(filters: Broadcast, spans: list[int], most_differing: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words_of = _Words()
-        span, word = (np.unpackbits(np.frombuffer(x, np.uint8)).view(bool) for x in filters.value)
+        span, word = (np.frombuffer(x, np.uint8) for x in filters.value)
         for b in batches:
             words, ids, ends = words_of.of(b.column(1).to_pylist())
-            known = word[_bit(ids, WORD_BITS)]
+            known = _in(word, _bit(ids, WORD_BITS))
             found = []
             for n in spans:
                 whole = inside(ends, n)
@@ -145,7 +150,7 @@ def _candidates(filters: Broadcast, spans: list[int], most_differing: int):
                         ok &= known[p : p + len(ok)]
                     at = np.flatnonzero(ok)
                     h = _hash(ids, at, mask, n).view(np.int64)
-                    hit = span[_bit(h.view(np.uint64), SPAN_BITS)]
+                    hit = _in(span, _bit(h.view(np.uint64), SPAN_BITS))
                     found.append(np.stack([h[hit], at[hit], np.full(int(hit.sum()), n)], 1))
             x = np.concatenate(found) if found else np.empty((0, 3), np.int64)
             if not len(x):
