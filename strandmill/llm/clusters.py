@@ -385,29 +385,12 @@ def _chunks_of(batches: Iterator[pa.RecordBatch], dim: int):
 
 
 def _absorbed(dim: int, eps: float):
-    """Pivots and rows of a chunk -> g, a, b, n_open: which comps a pivot joins, as a forest, and how many rows none is similar to."""
+    """Pivots and rows of a chunk -> g, id, part, comp, a, b: edges (a, b) between comps, as a forest, and where each row has to be.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g, (_, pc, px), (_, rc, rx) in _chunks_of(batches, dim):
-            if not len(rc) or not len(pc):
-                continue
-            close, _ = _near(rx, px, eps)
-            nodes, at = np.unique(np.concatenate([pc, rc]), return_inverse=True)
-            p, q = np.nonzero(close)
-            root = _roots(len(nodes), at[len(pc) + p], at[q])
-            own = np.flatnonzero(root != np.arange(len(nodes)))
-            n = len(own) + 1
-            cols = [np.full(n, g), np.append(nodes[root[own]], 0), np.append(nodes[own], 0), np.append(np.zeros(n - 1, np.int64), (~close.any(1)).sum())]
-            yield pa.RecordBatch.from_arrays([pa.array(v) for v in cols], names=["g", "a", "b", "n_open"])
-
-    return run
-
-
-def _spread(dim: int, eps: float):
-    """Pivots and rows of a chunk -> g, id, comp, v: each row in the part of its nearest pivot and of those whose margin it is in.
-
-    Two similar rows of different parts are both within eps of the plane between their pivots, so the row of the earlier
-    pivot is sent to the later one's part too and they meet there.
+    A row within eps of a pivot is of the pivot's comp and belongs to the part of its nearest pivot; all others are of
+    part -1.  Copies go where rows of another comp may be similar: these lie within eps of their pivot q, so the row is
+    within 2 eps of q, and within eps of the plane between q and its own pivot.  Two rows that pivots have absorbed
+    meet in the later pivot's part.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -415,16 +398,22 @@ def _spread(dim: int, eps: float):
             if not len(rc) or not len(pc):
                 continue
             close, sq = _near(rx, px, eps)
-            apart = np.sqrt(_near(px, px, eps)[1])
-            hit = close.any(1)
-            comp = np.where(hit, pc[close.argmax(1)], rc)
+            nodes, at = np.unique(np.concatenate([pc, rc]), return_inverse=True)
+            p, q = np.nonzero(close)
+            root = _roots(len(nodes), at[len(pc) + p], at[q])
+            own = np.flatnonzero(root != np.arange(len(nodes)))
             mine = sq.argmin(1)
             least = sq[np.arange(len(sq)), mine]
-            margin = sq - least[:, None] <= 2 * eps * apart[mine] * (1 + 1e-9) + 1e-9 * (1 + sq)
-            margin &= np.arange(len(pc))[None] >= mine[:, None]
-            p, q = np.nonzero(margin)
-            part = mix((np.full(len(q), g).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (q.astype(np.uint64) + np.uint64(1))).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(ids[p]), pa.array(comp[p]), _bytes(rx[p])], names=["g", "id", "comp", "v"])
+            held = least <= eps * eps
+            apart = np.sqrt(_near(px, px, eps)[1])
+            copy = (sq <= 4.000001 * eps * eps) & (sq - least[:, None] <= 2 * eps * apart[mine] * (1 + 1e-9) + 1e-9 * (1 + sq))
+            later = (np.arange(len(pc))[None] > mine[:, None]) & (root[at[: len(pc)]][None] != root[at[mine]][:, None])
+            r, q = np.nonzero(copy & (later | ~held[:, None]))
+            comp = np.where(held, pc[mine], rc)
+            n, m = len(own), len(ids) + len(r)
+            out = [np.full(n + m, g), np.append(np.zeros(n, np.int64), np.append(ids, ids[r])), np.append(np.zeros(n, np.int64), np.append(np.where(held, mine, -1), q))]
+            out += [np.append(np.zeros(n, np.int64), np.append(comp, comp[r])), np.append(nodes[root[own]], np.zeros(m, np.int64)), np.append(nodes[own], np.zeros(m, np.int64))]
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in out], names=["g", "id", "part", "comp", "a", "b"])
 
     return run
 
@@ -439,43 +428,37 @@ def _divided(work: DataFrame, dim: int, eps: float) -> DataFrame:
     """(a, b): ids of `work` (g, id, v, n), the rows of groups of n > PART rows, that are one cluster, as a forest's edges.
 
     Every row within eps of a pivot is joined to it, so a dense group is one cluster by its shared core points
-    alone, in as many tasks as it has PART rows.  A group that this does not settle is divided into the cells of its
-    pivots, with margins, and local clusters are merged through the rows that cells share; cells that are
-    still large are divided again, unless they hold nearly all of their group.
+    alone, in as many tasks as it has PART rows.  Where that leaves several comps, the group is divided into
+    the cells of its pivots, with margins, and the rows that no pivot holds; cells of one comp are done, the
+    others are clustered locally and merged through the rows they share.  What is still large is divided
+    again, unless it holds nearly all of its group.
     """
     scratch = Scratch(work.sparkSession)
     work = scratch.write(work.select("g", "id", F.col("id").alias("comp"), "v", "n"), "large")
     edges: list[DataFrame] = []
     for last in [False] * (ROUNDS - 1) + [True]:
-        h = F.xxhash64("id")
+        h, salts = F.xxhash64("id"), F.ceil(F.col("n") / PART)
         pivots = work.groupBy("g", "n", F.pmod(h, F.lit(PIVOTS)).alias("i")).agg(F.min(F.struct(h.alias("h"), "id", "comp", "v")).alias("p"))
-        pivots = scratch.write(pivots.select("g", "n", "p.id", "p.comp", "p.v"), "pivots")
-
-        def chunked(w: DataFrame, pv: DataFrame) -> DataFrame:
-            salts = F.ceil(F.col("n") / PART)
-            r = w.select(F.xxhash64("g", F.pmod(F.xxhash64("id", F.lit(5)), salts)).alias("c"), F.lit(1).alias("kind"), "g", "id", "comp", "v")
-            p = pv.withColumn("s", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1))).select(F.xxhash64("g", "s").alias("c"), F.lit(0).alias("kind"), "g", "id", "comp", "v")
-            return p.unionByName(r).repartition("c").sortWithinPartitions("c", "kind", "id")
-
-        joined = scratch.write(chunked(work, pivots).mapInArrow(_absorbed(dim, eps), "g bigint, a bigint, b bigint, n_open bigint"), "absorbed")
-        edges.append(joined.where("a <> b").select("a", "b"))
-        names = scratch.write(components(edges[-1]), "names")
-        renamed = pivots.join(names, pivots["comp"] == names["node"], "left").select("g", "n", "id", F.coalesce("lead", "comp").alias("comp"), "v")
-        left = joined.groupBy("g").agg(F.sum("n_open").alias("n_open"))
-        open_ = renamed.groupBy("g").agg(F.count_distinct("comp").alias("m")).join(left, "g").where("m > 1 OR n_open > 0").select("g")
-        open_ = scratch.write(open_, "open")
+        pivots = pivots.select("g", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1)).alias("s"), "p.*")
+        rows = work.select(F.xxhash64("g", F.pmod(F.xxhash64("id", F.lit(5)), salts)).alias("c"), F.lit(1).alias("kind"), "g", "id", "comp", "v")
+        both = pivots.select(F.xxhash64("g", "s").alias("c"), F.lit(0).alias("kind"), "g", "id", "comp", "v").unionByName(rows)
+        both = both.repartition("c").sortWithinPartitions("c", "kind", "id")
+        seen = scratch.write(both.mapInArrow(_absorbed(dim, eps), "g bigint, id bigint, part bigint, comp bigint, a bigint, b bigint"), "absorbed")
+        edges.append(seen.where("a <> b").select("a", "b"))
+        names = components(edges[-1])
+        places = seen.where("a = b").select("g", "id", "part", "comp").join(names, F.col("comp") == F.col("node"), "left")
+        places = scratch.write(places.select("g", "id", "part", F.coalesce("lead", "comp").alias("comp")), "places")
+        open_ = places.groupBy("g", "part").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+        open_ = scratch.write(open_.select("g", "part", "n"), "open")
         if not open_.take(1):
             break
-        rest = work.join(open_, "g", "left_semi")
-        rest = rest.join(names, rest["comp"] == names["node"], "left").select("g", "id", F.coalesce("lead", "comp").alias("comp"), "v", "n")
-        parts = chunked(rest, renamed.join(open_, "g", "left_semi")).mapInArrow(_spread(dim, eps), "g bigint, id bigint, comp bigint, v binary")
-        parts = scratch.write(parts, "parts")
-        most = work.agg(F.max("n")).first()[0]
-        size = parts.groupBy("g").agg(F.count("*").alias("n"))
-        parts = parts.join(size, "g")
-        again = (F.col("n") > PART) & (F.col("n") < 0.9 * most) & F.lit(not last)
-        edges.append(scratch.write(_solved(parts.where(~again), dim, eps), "solved"))
-        work = scratch.write(parts.where(again).select("g", "id", "comp", "v", "n"), "large")
+        sizes = work.select("g", F.col("n").alias("most")).distinct()
+        again = (F.col("n") > PART) & (F.col("n") < 0.9 * F.col("most")) & F.lit(not last)
+        open_ = open_.join(sizes, "g").select("g", "part", "n", again.alias("again"))
+        wanted = places.join(open_, ["g", "part"]).select(F.xxhash64("g", "part").alias("g"), "id", "comp", "n", "again")
+        parts = scratch.write(wanted.join(work.select("id", "v").dropDuplicates(["id"]), "id"), "parts")
+        edges.append(scratch.write(_solved(parts.where("NOT again"), dim, eps), "solved"))
+        work = parts.where("again").select("g", "id", "comp", "v", "n")
         if not work.take(1):
             break
     return reduce(DataFrame.union, edges)

@@ -287,13 +287,15 @@ def near_pairs(seqs: DataFrame, least: float = 0.9) -> DataFrame:
         raise ValueError("the seeds are dense enough for similarities of 0.9 and more")
     rank = seed_ranks(seqs, least)
     seeds = seqs.select("sid", "seq", "mask").mapInArrow(_seeds(rank, least), "k bigint, sid bigint, spot bigint, mask bigint")
-    n, n2 = (F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)).cast("int") for c in ("spot", "spot2"))
-    at, at2 = (F.shiftright(c, 32).cast("int") for c in ("spot", "spot2"))
+    n, n2 = (F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)).cast("int") for c in ("x.spot", "y.spot"))
+    at, at2 = (F.shiftright(c, 32).cast("int") for c in ("x.spot", "y.spot"))
     most = F.floor(n2 * (1 - least) + 1e-9)
-    across = F.col("mask").bitwiseAND(F.shiftright("mask2", SIDE)).bitwiseOR(F.shiftright("mask", SIDE).bitwiseAND(F.col("mask2"))).bitwiseAND(F.lit((1 << SIDE) - 1))
-    ok = ((n < n2) | ((n == n2) & (F.col("sid") < F.col("sid2")))) & (n2 - n <= most) & (F.abs(at - at2) <= most) & (across != 0)
-    other = seeds.withColumnsRenamed({"sid": "sid2", "spot": "spot2", "mask": "mask2"})
-    pairs = seeds.hint("merge").join(other.hint("merge"), "k").where(ok).groupBy("sid", "sid2").agg(F.count("*").alias("n_seeds"))
+    sides = F.lit((1 << SIDE) - 1)
+    across = F.col("x.mask").bitwiseAND(F.shiftright("y.mask", SIDE)).bitwiseOR(F.shiftright("x.mask", SIDE).bitwiseAND(F.col("y.mask"))).bitwiseAND(sides)
+    ok = ((n < n2) | ((n == n2) & (F.col("x.sid") < F.col("y.sid")))) & (n2 - n <= most) & (F.abs(at - at2) <= most) & (across != 0)
+    # aliases only, so that both sides are one plan and the seeds are computed and shuffled once
+    pairs = seeds.alias("x").hint("merge").join(seeds.alias("y").hint("merge"), F.col("x.k") == F.col("y.k")).where(ok)
+    pairs = pairs.groupBy(F.col("x.sid").alias("sid"), F.col("y.sid").alias("sid2")).agg(F.count("*").alias("n_seeds"))
     s, t = (seqs.select(F.col("sid").alias(i), F.col("seq").alias(c)) for i, c in (("sid", "s"), ("sid2", "t")))
     pairs = pairs.hint("merge").join(s, "sid").hint("merge").join(t, "sid2").select("sid", "sid2", "n_seeds", "s", "t")
     schema = "a bigint, b bigint, n_seeds bigint, s string, t string, most int, covered_a array<bigint>, covered_b array<bigint>"
