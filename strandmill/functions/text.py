@@ -12,7 +12,9 @@ THREE_LETTERS = {
     "M": "MET", "N": "ASN", "P": "PRO", "Q": "GLN", "R": "ARG", "S": "SER", "T": "THR", "V": "VAL", "W": "TRP", "Y": "TYR", "X": "UNK",
 }
 FNV_BASIS, FNV_PRIME, WORD = 2166136261, 16777619, 0xFFFFFFFF
-CELL = r"(-?\d+\.\d+)\s*±\s*(\d+\.\d+)\s*\(n=(\d+)\)"
+#: The formats of a report's cells.
+CELL = r"([+-]?\d+\.\d+)\s*±\s*(\d+\.\d+)\s*\(n=(\d+)\)"
+GRID_BEST = r"Grid-best α = (\d+(?:\.\d+)?) → ([+-]?\d+\.\d+)"
 
 
 def _c(x: Column | str) -> Column:
@@ -79,3 +81,10 @@ def cell_text(mean: Column, std: Column, n: Column) -> Column:
 def plain_name(text: Column | str) -> Column:
     """Without bold marks and a closing parenthesis."""
     return F.trim(F.regexp_replace(F.regexp_replace(_c(text), r"\*\*", ""), r"\s*\([^)]*\)\s*$", ""))
+
+
+def grid_best(text: Column | str) -> Column:
+    """struct<alpha, value> of a cell that names the best of a grid; null if it names none."""
+    t = _c(text)
+    part = lambda i: F.regexp_extract(t, GRID_BEST, i).cast("double")
+    return F.when(t.rlike(GRID_BEST), F.struct(part(1).alias("alpha"), part(2).alias("value")))

@@ -7,6 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -80,7 +82,7 @@ def farthest_frames(frames: np.ndarray, k: int) -> list[int]:
 
 
 def frame_descriptor(n: np.ndarray, ca: np.ndarray, c: np.ndarray, k: int = 16) -> np.ndarray:
-    """(L, 12 k): the k nearest residues' frames seen from each residue's own frame.
+    """(..., L, 12 k): the k nearest residues' frames seen from each residue's own frame, of atoms (..., L, 3).
 
     A residue's frame is Gram-Schmidt on CA-C and CA-N with its origin at CA.  Neighbours go by CA
     distance, the residue itself first, ties by index; missing neighbours are the residue itself.
@@ -93,13 +95,18 @@ def frame_descriptor(n: np.ndarray, ca: np.ndarray, c: np.ndarray, k: int = 16)
     w = n - ca
     e2 = unit(w - (w * e1).sum(-1, keepdims=True) * e1)
     rot = np.stack([e1, e2, np.cross(e1, e2)], -1)
-    d = ((ca[:, None] - ca[None]) ** 2).sum(-1)
-    near = np.argsort(d, axis=1, kind="stable")[:, :k]
-    if near.shape[1] < k:
-        near = np.concatenate([near, np.repeat(np.arange(len(ca))[:, None], k - near.shape[1], 1)], 1)
-    rel = np.einsum("lji,lkjm->lkim", rot, rot[near])
-    shift = np.einsum("lji,lkj->lki", rot, ca[near] - ca[:, None])
-    return np.concatenate([rel.reshape(len(ca), k, 9), shift], -1).reshape(len(ca), 12 * k)
+    size = ca.shape[-2]
+    d = ((ca[..., :, None, :] - ca[..., None, :, :]) ** 2).sum(-1)
+    near = np.argsort(d, axis=-1, kind="stable")[..., :k]
+    if near.shape[-1] < k:
+        own = np.broadcast_to(np.arange(size)[:, None], (*near.shape[:-1], k - near.shape[-1]))
+        near = np.concatenate([near, own], -1)
+    flat = near.reshape(*near.shape[:-2], size * k)
+    theirs = np.take_along_axis(rot, flat[..., None, None], -3).reshape(*near.shape, 3, 3)
+    place = np.take_along_axis(ca, flat[..., None], -2).reshape(*near.shape, 3)
+    rel = np.swapaxes(rot, -1, -2)[..., None, :, :] @ theirs
+    shift = ((place - ca[..., None, :])[..., None, :] @ rot[..., None, :, :])[..., 0, :]
+    return np.concatenate([rel.reshape(*near.shape, 9), shift], -1).reshape(*ca.shape[:-1], 12 * k)
 
 
 def assignment(cost: np.ndarray) -> tuple[np.ndarray, float]:
@@ -173,15 +180,51 @@ def selected_frames(coords: DataFrame, k: int) -> DataFrame:
     return coords.select("pid", "frame", "res", "xyz").groupBy("pid").applyInPandas(run, "pid string, frames array<int>")
 
 
+def _whole_frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches sorted by pid and frame (columns 0 and 1), cut so that no frame is in two of them."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not len(b):
+            continue
+        name = (b.column(0)[-1], b.column(1)[-1])
+        last = pc.and_(pc.equal(b.column(0), name[0]), pc.equal(b.column(1), name[1])).to_numpy(zero_copy_only=False)
+        cut = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
+        if held and (cut or (held[-1].column(0)[-1], held[-1].column(1)[-1]) != name):
+            whole = pa.concat_batches([*held, b.slice(0, cut)])
+            held = []
+            yield whole
+        elif cut:
+            yield b.slice(0, cut)
+        held.append(b.slice(cut))
+    if held:
+        yield pa.concat_batches(held)
+
+
 def descriptors(backbone: DataFrame, k: int = 16) -> DataFrame:
-    """(pid, frame, res, d) of a backbone (pid, frame, res, n, ca, c)."""
+    """(pid, frame, res, d) of a backbone (pid, frame, res, n, ca, c).
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf.sort_values("res")
-        d = frame_descriptor(*[np.stack(p[a].to_numpy()).astype(np.float64) for a in ("n", "ca", "c")], k)
-        return pd.DataFrame({"pid": p["pid"].to_numpy(), "frame": p["frame"].to_numpy(), "res": p["res"].to_numpy(), "d": list(d)})
+    Rows are brought together and sorted by frame, and all frames of one length in a batch are computed at once.
+    """
 
-    return backbone.select("pid", "frame", "res", "n", "ca", "c").groupBy("pid", "frame").applyInPandas(run, "pid string, frame int, res int, d array<double>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _whole_frames(batches):
+            fresh = pc.or_(pc.not_equal(b.column(0)[1:], b.column(0)[:-1]), pc.not_equal(b.column(1)[1:], b.column(1)[:-1])).to_numpy(zero_copy_only=False)
+            starts = np.append(0, np.flatnonzero(fresh) + 1)
+            size = np.diff(np.append(starts, len(b)))
+            atoms = [b.column(i).flatten().to_numpy(zero_copy_only=False).reshape(-1, 3) for i in (3, 4, 5)]
+            for n in np.unique(size):
+                step = max(1, (1 << 20) // int(n * n))
+                own = starts[size == n]
+                for i in range(0, len(own), step):
+                    at = own[i : i + step, None] + np.arange(n)
+                    d = frame_descriptor(*[a[at] for a in atoms], k).reshape(-1, 12 * k)
+                    take = pa.array(at.ravel())
+                    ends = pa.array(np.arange(len(d) + 1, dtype=np.int32) * (12 * k))
+                    yield pa.RecordBatch.from_arrays([*[b.column(j).take(take) for j in range(3)], pa.ListArray.from_arrays(ends, pa.array(d.ravel()))], names=["pid", "frame", "res", "d"])
+
+    rows = backbone.select("pid", "frame", "res", "n", "ca", "c").where("pid IS NOT NULL AND frame IS NOT NULL")
+    rows = rows.repartition("pid", "frame").sortWithinPartitions("pid", "frame", "res")
+    return rows.mapInArrow(run, "pid string, frame int, res int, d array<double>")
 
 
 def matched_loss(pairs: DataFrame) -> DataFrame:
@@ -245,20 +288,24 @@ def capped_nearest(rows: DataFrame, frames: DataFrame, cap: float, exact: float
     The first frame closer than `exact` is taken even if a later one is closer still; else ties go to the
     first.  Frames of one trajectory are bounded and sent to the tasks.
     """
-    from strandmill.operators.quantize import codebook_matrix
+    from strandmill.operators.quantize import _nearest, codebook_matrix
 
     book = frames.select(F.col("frame").alias("code"), "vec")
     codes, c = codebook_matrix(book)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            if not len(b):
+                continue
             x = np.stack(b["v"].to_numpy()).astype(np.float64)
-            best, dist = np.empty(len(x), np.int64), np.empty(len(x))
-            for i, y in enumerate(x):
-                d = np.sqrt(((c - y) ** 2).sum(1))
-                at = np.flatnonzero(d < exact)
-                best[i] = at[0] if len(at) else d.argmin()
-                dist[i] = d[best[i]]
+            best, sq = _nearest(x, c)
+            close = np.flatnonzero(sq < exact * exact)  # only there an earlier frame can be close enough too
+            for i in range(0, len(close), 64):
+                at = close[i : i + 64]
+                d = ((x[at][:, None] - c[None]) ** 2).sum(-1)
+                best[at] = (d < exact * exact).argmax(1)
+                sq[at] = d[np.arange(len(at)), best[at]]
+            dist = np.sqrt(sq)
             ok = dist <= cap
             yield pd.DataFrame({"id": b["id"][ok], "frame": codes[best[ok]], "dist": dist[ok]})
 

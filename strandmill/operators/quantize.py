@@ -105,10 +105,6 @@ def decode(tokens: DataFrame, codebooks: list[DataFrame]) -> DataFrame:
     return out.select("id", total.alias("decoded"))
 
 
-def clipped(token: str, size: int):
-    return F.greatest(F.lit(0), F.least(F.col(token), F.lit(size - 1)))
-
-
 def code_sums(points: DataFrame, codebook: DataFrame, id: str = "id", vector: str = "vec") -> DataFrame:
     """(code, n, total): members of every code that has any, and the sum of their vectors.
 
@@ -193,14 +189,18 @@ def ema_step(state: DataFrame, points: DataFrame, decay: float = 0.99, seed: int
     return s.select("code", F.when(is_new, 1.0).otherwise(F.col("c")).alias("ema_count"), F.coalesce("fresh", "w").alias("ema_weight"), F.coalesce("fresh", "vec").alias("vec"))
 
 
-def standardize(points: DataFrame, id: str = "id", vector: str = "vec") -> DataFrame:
-    """(id, z): (x - mean) / std by dimension, with the population std; a std under 1e-6 counts as 1.
+def statistics(points: DataFrame, vector: str = "vec") -> DataFrame:
+    """One row (st): an array of struct<pos, mu, sd>, the mean and population std of every dimension; a std under 1e-6 counts as 1."""
+    p = points.select(F.posexplode(vec.doubles(vector)).alias("pos", "x")).groupBy("pos").agg(F.avg("x").alias("mu"), F.stddev_pop("x").alias("sd"))
+    return p.agg(F.array_sort(F.collect_list(F.struct("pos", "mu", F.when(F.col("sd") < 1e-6, 1.0).otherwise(F.col("sd")).alias("sd")))).alias("st"))
 
-    Means and stds are one aggregate over the dimensions, broadcast as a single row.
-    """
+
+def apply_statistics(points: DataFrame, stats: DataFrame, id: str = "id", vector: str = "vec") -> DataFrame:
+    """(id, z): (x - mean) / std by dimension, with stored statistics (one row, broadcast)."""
     p = points.select(F.col(id).alias("id"), vec.doubles(vector).alias("v"))
-    stats = (
-        p.select(F.posexplode("v").alias("pos", "x")).groupBy("pos").agg(F.avg("x").alias("mu"), F.stddev_pop("x").alias("sd"))
-        .agg(F.array_sort(F.collect_list(F.struct("pos", "mu", F.when(F.col("sd") < 1e-6, 1.0).otherwise(F.col("sd")).alias("sd")))).alias("st"))
-    )
-    return p.join(F.broadcast(stats), how="cross").select("id", F.zip_with("v", "st", lambda x, s: (x - s["mu"]) / s["sd"]).alias("z"))  # one row
+    return p.join(F.broadcast(stats), how="cross").select("id", F.zip_with("v", "st", lambda x, s: (x - s["mu"]) / s["sd"]).alias("z"))
+
+
+def standardize(points: DataFrame, id: str = "id", vector: str = "vec") -> DataFrame:
+    """(id, z): (x - mean) / std by dimension, with the statistics of the points themselves."""
+    return apply_statistics(points, statistics(points, vector), id, vector)

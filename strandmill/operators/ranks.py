@@ -113,3 +113,12 @@ def blend_ladder(rows: DataFrame, score: str, other: str, truth: str, group: lis
     xx, yy, xy = F.sum(F.col("_n") * F.col("_r") * F.col("_r")), F.sum("_t2"), F.sum(F.col("_r") * F.col("_t"))
     rho = F.try_divide(xy - x * y / n, F.sqrt(F.greatest(xx - x * x / n, F.lit(0.0))) * F.sqrt(F.greatest(yy - y * y / n, F.lit(0.0))))
     return m.groupBy(*group, "alpha").agg(rho.alias("rho"))
+
+
+def rank_sum(rows: DataFrame, values: list[str], group: list[str], name: str = "blend") -> DataFrame:
+    """`rows` with the mean of their average ranks under several scores, within the group; null if a score is null."""
+    out = rows
+    for i, v in enumerate(values):
+        out = average_ranks(out, v, group, f"_rank{i}")
+    total = sum((F.col(f"_rank{i}") for i in range(1, len(values))), F.col("_rank0"))
+    return out.withColumn(name, total / len(values)).drop(*[f"_rank{i}" for i in range(len(values))])

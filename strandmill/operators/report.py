@@ -80,9 +80,21 @@ def audit(ours: DataFrame, canon: DataFrame, keys: list[str], with_p: bool = Tru
     return j.withColumn("p", t_test_p("t", "df")) if with_p else j
 
 
+def with_sections(cells: DataFrame, names: dict[str, str], shown: dict[str, str] | None = None, section: str = "section", baseline: str = "baseline") -> DataFrame:
+    """`cells` under the sections' other names and the baselines' display names, without marks; unknown sections are left out.
+
+    Both maps are bounded tables of a report's layout.
+    """
+    of = lambda m, c: F.try_element_at(F.create_map(*[F.lit(x) for pair in m.items() for x in pair]), c)
+    plain = text.plain_name(baseline)
+    out = cells.withColumn(section, of(names, F.col(section))).where(F.col(section).isNotNull())
+    return out.withColumn(baseline, F.coalesce(of(shown, plain), plain) if shown else plain)
+
+
 def audit_order(rows: DataFrame) -> DataFrame:
     """Most surprising first: p ascending, missing p as 1, then the larger difference."""
-    return rows.orderBy(F.coalesce("p", F.lit(1.0)), F.desc(F.abs("d_mean")))
+    rest = [c for c in rows.columns if c not in ("p", "d_mean")]
+    return rows.orderBy(F.coalesce("p", F.lit(1.0)), F.desc(F.abs("d_mean")), *rest)
 
 
 def parsed_cells(cells: DataFrame, column: str = "cell") -> DataFrame:

@@ -194,7 +194,7 @@ def j16_positional_join(spark: SparkSession, d: str) -> DataFrame:
     return j.groupBy("tag", "level").agg(F.count_if(F.size("tokens") == F.col("n_res")).alias("n_aligned"), F.count_if(F.size("tokens") != F.col("n_res")).alias("n_skipped"))
 
 
-@query("WITH a AS (SELECT DISTINCT p_brand AS name, p_brand AS plain FROM part), b AS (SELECT p_brand AS plain, round(avg(p_retailprice), 4) AS v FROM part GROUP BY 1) SELECT '**' || name || '** (n=3)' AS shown, a.plain, v, true AS ok FROM a JOIN b USING (plain)")
+@query("WITH a AS (SELECT DISTINCT p_brand AS name, p_brand AS plain FROM part), b AS (SELECT p_brand AS plain, avg(p_retailprice) AS m, round(avg(p_retailprice), 4) AS v FROM part GROUP BY 1) SELECT '**' || name || '** (n=3)' AS shown, a.plain, v, abs(m - v) <= 5e-4 AS ok FROM a JOIN b USING (plain)")
 def j19_normalised_names(spark: SparkSession, d: str) -> DataFrame:
     p = load(spark, d, "part")
     shown = p.select(F.concat(F.lit("**"), "p_brand", F.lit("** (n=3)")).alias("shown"), F.col("p_retailprice").alias("r")).groupBy("shown").agg(F.avg("r").alias("m")).withColumn("plain", text.plain_name("shown"))
@@ -280,23 +280,33 @@ def w5_lead_lag_tangent(spark: SparkSession, d: str) -> DataFrame:
     return segment.tangents(frames(spark, d), "key", ["frame"], "value").select("event_id", (F.round("tangent", 6) + 0.0).alias("tangent"))
 
 
-@query("WITH k AS (SELECT p_partkey::VARCHAR AS key, p_size % 3 AS m FROM part) SELECT key, r::INT AS r, aa FROM k, (VALUES (0, 0, 'A'), (0, 1, 'G'), (1, 0, 'S'), (1, 1, 'G')) AS x(m2, r, aa) WHERE m = m2")
+#: Atoms between CA and the carbonyl of every residue: k carbon, n, o, s, h.
+_SIDES = {
+    "A": "hkhhh", "C": "hkhhsh", "D": "hkhhkoo", "E": "hkhhkhhkoo", "F": "hkhhkkhkhkhkhkh", "G": "hh", "H": "hkhhknhkhnkh", "I": "hkhkhhkhhhkhhh",
+    "K": "hkhhkhhkhhkhhnhhh", "L": "hkhhkhkhhhkhhh", "M": "hkhhkhhskhhh", "N": "hkhhkonhh", "P": "hkhhkhhkhh", "Q": "hkhhkhhkonhh", "R": "hkhhkhhkhhnhknhhnhh",
+    "S": "hkhhoh", "T": "hkhohkhhh", "V": "hkhkhhhkhhh", "W": "hkhhkkhnhkkkhkhkhkh", "Y": "hkhhkkhkhkohkhkh", "X": "hkhhss",
+}
+
+
+@query(f"WITH {_SEQ} SELECT pid AS key, (i - 1)::INT AS r, CASE WHEN strpos('ACDEFGHIKLMNPQRSTVWY', seq[i]) > 0 THEN seq[i] ELSE 'X' END AS aa FROM sq, unnest(range(1, length(seq) + 1)) AS x(i)")
 def w4_residue_segments(spark: SparkSession, d: str) -> DataFrame:
-    """Two-residue atom chains made from the parts' sizes; a third of them lacks its last oxygen and is void (W4, F9, A35)."""
-    tail = [7, 1, 6, 1, 6, 8]
-    ala, ser = [7, 1, 6, 1, 6, 1, 1, 1, 6, 8], [7, 1, 6, 1, 6, 1, 1, 8, 6, 8]
-    chains = {0: ala + tail, 1: ser + tail, 2: ala + tail[:-1]}
-    m = F.col("p_size") % 3
-    lit = lambda xs: F.array(*map(F.lit, xs))
+    """The atoms of every sequence's residues, segmented and named again (W4, F9, A35): all kinds, proline and valine by distance."""
+    number = {"k": 6, "n": 7, "o": 8, "s": 16, "h": 1}
+    maps: dict[str, list] = {"number": [], "kind": [], "x": []}
+    for aa, side in _SIDES.items():
+        atoms = ("n" if aa == "P" else "nh") + "k" + side + "Ko"
+        at = len(atoms) - 2 - len(side)
+        maps["number"] += [F.lit(aa), F.array(*[F.lit(number[a.lower()]) for a in atoms])]
+        maps["kind"] += [F.lit(aa), F.array(*[F.lit(3 if a == "K" else 1) for a in atoms])]
+        maps["x"] += [F.lit(aa), F.array(*[F.lit((1.5 if aa == "P" else 3.0) if at <= i < len(atoms) - 2 else 0.0) for i in range(len(atoms))])]
+    aa = F.transform(F.regexp_extract_all("seq", F.lit("(.)"), F.lit(1)), lambda c: F.when(c.isin(*[a for a in _SIDES if a != "X"]), c).otherwise("X"))
+    chain = _seqs(spark, d).select(F.col("pid").alias("key"), aa.alias("aa"))
 
-    def kind(a: list[int]) -> list[int]:
-        return [3 if i in (8, 14) else 1 for i in range(len(a))]
+    def spelled(table: list):
+        return F.flatten(F.transform("aa", lambda c: F.element_at(F.create_map(*table), c)))
 
-    number = F.when(m == 0, lit(chains[0])).when(m == 1, lit(chains[1])).otherwise(lit(chains[2]))
-    typed = F.when(m == 0, lit(kind(chains[0]))).when(m == 1, lit(kind(chains[1]))).otherwise(lit(kind(chains[2])))
-    xyz = F.transform(number, lambda x: F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0)))
-    c = load(spark, d, "part").select(F.col("p_partkey").alias("key"), number.alias("number"), typed.alias("kind"), xyz.alias("xyz"))
-    return segment.residues(c).select("key", "r", "aa")
+    chain = chain.select("key", *[spelled(table).alias(n) for n, table in maps.items()]).withColumn("xyz", F.transform("x", lambda v: F.array(v, F.lit(0.0), F.lit(0.0))))
+    return segment.residues(chain).select("key", "r", "aa")
 
 
 # strings
@@ -387,11 +397,15 @@ def s25_status_counts(spark: SparkSession, d: str) -> DataFrame:
     return stats.status_counts(load(spark, d, "descriptors").withColumn("status", s), "status")
 
 
-@query(f"WITH {RECORDS} SELECT tag, level, count(*) AS n_tasks FROM t CROSS JOIN (VALUES ('ec'), ('go'), ('site')) AS k(task) GROUP BY ALL")
+@query(f"""WITH {RECORDS}, k AS (SELECT * FROM (VALUES ('ec', 0, 200), ('go', 1, 1), ('site', 0, 50), ('none', 9, 1)) AS k(task, level, least)), c AS (SELECT tag, task, k.level, least FROM (SELECT DISTINCT tag FROM codebook_sizes), k)
+    SELECT c.tag, c.task, count(pid) AS n_records FROM c LEFT JOIN t ON t.tag = c.tag AND t.level = c.level AND len(t.tokens) >= least GROUP BY ALL""")
 def x3_task_catalogue(spark: SparkSession, d: str) -> DataFrame:
-    """Every record with every task of a catalogue, as an explode of the bounded catalogue."""
-    t = records(spark, d).withColumn("task", F.explode(F.array(*map(F.lit, ("ec", "go", "site")))))
-    return t.groupBy("tag", "level").agg(F.count("*").alias("n_tasks"))
+    """A catalogue of tasks (the level and the least length each takes) crossed with the tokenizers, and the records each has."""
+    tasks = spark.createDataFrame([("ec", 0, 200), ("go", 1, 1), ("site", 0, 50), ("none", 9, 1)], "task string, level int, least int")
+    every = load(spark, d, "codebook_sizes").select("tag").distinct().join(F.broadcast(tasks), how="cross")  # tags x tasks
+    t = records(spark, d).select("tag", "level", "pid", F.size("tokens").alias("n"))
+    fits = every.join(t, ["tag", "level"], "left").withColumn("pid", F.when(F.col("n") >= F.col("least"), F.col("pid")))
+    return fits.groupBy("tag", "task").agg(F.count("pid").alias("n_records"))
 
 
 @query(f"WITH {FRAMES}, w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS h, token, count(*) AS n FROM f GROUP BY ALL) SELECT h::VARCHAR AS hour, token, n FROM w")

@@ -77,12 +77,19 @@ def a15_top1_hit(spark: SparkSession, d: str) -> DataFrame:
     return stats.top1_hit(_scored(spark, d), "event_id", "score", "y", "cls").select(_r("top1"))
 
 
-@query(f"""WITH {_SCORED}, a AS (SELECT cls FROM s GROUP BY cls HAVING sum(y) > 0), f AS (SELECT s.cls, count(*) FILTER (score > 0.5 AND y = 1) AS tp, count(*) FILTER (score > 0.5 AND y = 0) AS fp, count(*) FILTER (score <= 0.5 AND y = 1) AS fn FROM s JOIN a ON s.cls = a.cls GROUP BY s.cls)
-    SELECT count(*) AS n_classes, round(avg(2 * tp / (2 * tp + fp + fn)), 9) AS macro_f1 FROM f""")
+@query(f"""WITH {_SCORED}, t AS (SELECT cls, score, count(*) AS n, sum(y) AS p FROM s GROUP BY ALL), u AS (SELECT 'micro' AS kind, score, sum(n) AS n, sum(p) AS p FROM t GROUP BY score UNION ALL SELECT cls, score, n, p FROM t),
+    v AS (SELECT kind, p, sum(p) OVER w / sum(n) OVER w AS prec FROM u WINDOW w AS (PARTITION BY kind ORDER BY score DESC)), ap AS (SELECT kind, sum(p * prec) / sum(p) AS ap FROM v GROUP BY kind),
+    r AS (SELECT cls, y, rank() OVER (PARTITION BY cls ORDER BY score) + (count(*) OVER (PARTITION BY cls, score) - 1) / 2.0::DOUBLE AS r FROM s), q AS (SELECT cls, count(*) FILTER (y = 1) AS p, count(*) FILTER (y = 0) AS n, sum(r) FILTER (y = 1) AS w FROM r GROUP BY cls),
+    c AS (SELECT cls, count(*) FILTER (score > 0.5 AND y = 1) AS tp, count(*) FILTER (score > 0.5 AND y = 0) AS fp, count(*) FILTER (score <= 0.5 AND y = 1) AS fn FROM s GROUP BY cls),
+    f AS (SELECT avg(2 * tp / (2 * tp + fp + fn)) AS macro, 2 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn)) AS micro FROM c),
+    h AS (SELECT avg((y = 1)::INT) AS top1 FROM (SELECT y, row_number() OVER (PARTITION BY event_id ORDER BY score DESC, cls) AS r FROM s) WHERE r = 1)
+    SELECT (SELECT count(DISTINCT cls) FROM s) AS n_classes, (SELECT count(DISTINCT event_id) FROM s) AS n_items, (SELECT round(avg(ap), 9) FROM ap WHERE kind <> 'micro') AS macro_ap, (SELECT round(ap, 9) FROM ap WHERE kind = 'micro') AS micro_ap,
+      (SELECT round(avg((w - p * (p + 1) / 2) / (p * n)), 9) FROM q) AS macro_auroc, round(macro, 9) AS macro_f1, round(micro, 9) AS micro_f1, (SELECT round(top1, 9) FROM h) AS top1 FROM f""")
 def a12_multilabel_bundle(spark: SparkSession, d: str) -> DataFrame:
-    s = _scored(spark, d)
-    kept = s.groupBy("cls").agg(F.sum("y").alias("p")).where("p > 0").agg(F.count("*").alias("n_classes"))
-    return kept.join(stats.f1(s, "score", "y", "cls").select(_r("macro_f1")), how="cross")  # one row each
+    from strandmill.operators.probes import multilabel_bundle
+
+    b = multilabel_bundle(_scored(spark, d), "event_id")
+    return b.select("n_classes", "n_items", *[_r(c) for c in b.columns[2:]])
 
 
 @query("WITH x AS (SELECT l_returnflag AS flag, l_extendedprice AS y, l_quantity * 1000 AS p FROM lineitem) SELECT flag, round(1 - sum(pow(y - p, 2)) / (var_pop(y) * count(*)), 6) AS r2, round(avg(pow(y - p, 2)), 2) AS mse FROM x GROUP BY flag")
@@ -224,12 +231,34 @@ def w10_learning_rate(spark: SparkSession, d: str) -> DataFrame:
     return spark.range(1000).select(s.alias("step"), F.round(lr, 12).alias("lr"))
 
 
-@query(f"WITH {FRAMES} SELECT event_id, 1 / (1 + exp(-x)) AS sigmoid, greatest(x, 0) AS relu, e / sum(e) OVER (PARTITION BY key) AS softmax FROM (SELECT *, exp(x) AS e FROM (SELECT event_id, key, (value - 60) / 30 AS x FROM f))".replace("1 / (1 + exp(-x)) AS", "round(1 / (1 + exp(-x)), 6) AS").replace("greatest(x, 0) AS relu", "round(greatest(x, 0), 6) AS relu").replace("e / sum(e) OVER (PARTITION BY key) AS", "round(e / sum(e) OVER (PARTITION BY key), 6) AS"))
+@query(f"""WITH {FRAMES}, x AS (SELECT event_id, key, (value - 60) * 40 AS x FROM f), e AS (SELECT *, exp(x - max(x) OVER (PARTITION BY key)) AS e, avg(x) OVER (PARTITION BY key) AS mu, stddev_pop(x) OVER (PARTITION BY key) AS sd FROM x)
+    SELECT event_id, round(CASE WHEN x >= 0 THEN 1 / (1 + exp(-x)) ELSE exp(x) / (1 + exp(x)) END, 6) AS sigmoid, round(greatest(x, 0), 6) AS relu, round(e / sum(e) OVER (PARTITION BY key), 6) AS softmax,
+      round(0.5 * x * (1 + tanh(0.7978845608028654 * (x + 0.044715 * x * x * x))), 5) + 0.0 AS gelu, round((x - mu) / sqrt(sd * sd + 1e-5), 6) + 0.0 AS layer_norm FROM e""")
 def f22_activations(spark: SparkSession, d: str) -> DataFrame:
-    f = frames(spark, d).select("event_id", "key", ((F.col("value") - 60) / 30).alias("x"))
-    total = f.groupBy("key").agg(F.sum(F.exp("x")).alias("t"))
+    """Activations of values up to thousands; the softmax is taken from each key's maximum, so it stays finite."""
+    f = frames(spark, d).select("event_id", "key", ((F.col("value") - 60) * 40).alias("x"))
+    top = f.groupBy("key").agg(F.max("x").alias("top"), F.avg("x").alias("mu"), F.stddev_pop("x").alias("sd"))
+    f = f.join(top, "key")
+    total = f.groupBy("key").agg(F.sum(F.exp(F.col("x") - F.col("top"))).alias("t"))
     x = F.col("x")
-    return f.join(total, "key").select("event_id", F.round(1 / (1 + F.exp(-x)), 6).alias("sigmoid"), F.round(F.greatest(x, F.lit(0.0)), 6).alias("relu"), F.round(F.exp(x) / F.col("t"), 6).alias("softmax"))
+    gelu = 0.5 * x * (1 + F.tanh(0.7978845608028654 * (x + 0.044715 * x * x * x)))
+    return f.join(total, "key").select(
+        "event_id", F.round(F.when(x >= 0, 1 / (1 + F.exp(-x))).otherwise(F.exp(x) / (1 + F.exp(x))), 6).alias("sigmoid"), F.round(F.greatest(x, F.lit(0.0)), 6).alias("relu"),
+        F.round(F.exp(x - F.col("top")) / F.col("t"), 6).alias("softmax"), (F.round(gelu, 5) + 0.0).alias("gelu"), (F.round((x - F.col("mu")) / F.sqrt(F.col("sd") * F.col("sd") + 1e-5), 6) + 0.0).alias("layer_norm"),
+    )
+
+
+@query(f"WITH {FRAMES}, r AS (SELECT event_id, {_RANKS.format(g='token', x='round(value, 0)')} AS a, {_RANKS.format(g='token', x='key')} AS b FROM f) SELECT event_id, round((a + b) / 2, 3) AS blend FROM r")
+def w1_rank_blend(spark: SparkSession, d: str) -> DataFrame:
+    f = frames(spark, d).withColumn("x", F.round("value", 0))
+    return ranks.rank_sum(f, ["x", "key"], ["token"]).select("event_id", F.round("blend", 3).alias("blend"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN round(p_size / 10, 1)::DOUBLE END AS alpha, CASE WHEN p_size % 3 = 0 THEN round(-p_size / 7, 4)::DOUBLE END AS value FROM part")
+def f18_grid_best(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("p_size")
+    t = F.when(n % 3 == 0, F.format_string("**Grid-best α = %.1f → %+.4f**", n / 10, F.round(-n / 7, 4))).otherwise("—")
+    return load(spark, d, "part").select("p_partkey", text.grid_best(t).alias("g")).select("p_partkey", "g.alpha", "g.value")
 
 
 @query("""WITH p AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), q AS (SELECT id AS i, v AS w FROM p WHERE id = 0)

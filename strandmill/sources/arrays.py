@@ -56,3 +56,20 @@ def archives(arrays: DataFrame, group: str, compressed: bool = False, dtype: str
         return pd.DataFrame({"grp": [pdf["grp"].iloc[0]], "content": [out.getvalue()]})
 
     return arrays.select(F.col(group).cast("string").alias("grp"), "key", "ord", "data").groupBy("grp").applyInPandas(run, "grp string, content binary")
+
+
+def matrices(rows: DataFrame, group: str, order: str, column: str, dtype: str = "float32") -> DataFrame:
+    """(group, content): a .npy matrix for each group, one row for each array in the given order; a group is one bounded file."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = io.BytesIO()
+        np.save(out, np.stack([np.asarray(v, dtype) for v in pdf.sort_values("o")["v"]]), allow_pickle=False)
+        return pd.DataFrame({"grp": [pdf["grp"].iloc[0]], "content": [out.getvalue()]})
+
+    return rows.select(F.col(group).cast("string").alias("grp"), F.col(order).alias("o"), F.col(column).alias("v")).groupBy("grp").applyInPandas(run, "grp string, content binary")
+
+
+def labels_of(arrays: DataFrame) -> DataFrame:
+    """(path, key, pos, label): the labels of flat (.npy) and keyed (.npz) files, in single precision; the key of a flat file is null."""
+    flat = F.when(~F.col("path").endswith(".npy"), F.col("key"))
+    return arrays.where("data IS NOT NULL").select("path", flat.alias("key"), F.posexplode("data").alias("pos", "label")).withColumn("label", F.col("label").cast("float"))

@@ -79,3 +79,13 @@ def json_at(column: Column, path: str) -> Column:
 
 def write_audit(rows: DataFrame, path: str, fields: list[str]) -> None:
     rows.select(*fields).write.mode("overwrite").csv(path, header=True)
+
+
+def results_json(runs: DataFrame, value: str = "json") -> DataFrame:
+    """One JSON object for each run, keys in the columns' order, nulls left out."""
+    return runs.select(F.to_json(F.struct(*runs.columns)).alias(value))
+
+
+def write_results(runs: DataFrame, path: str) -> None:
+    """The runs' objects, one a line, added to those already there."""
+    results_json(runs, "value").write.mode("append").text(path)

@@ -8,8 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandmill.functions import keys, text, vec
-from strandmill.operators import geometry, graph, labels, orphans, quantize, ranks, report, segment, stats, tokenstats
+from strandmill.functions import args, keys, text, vec
+from strandmill.operators import basis, geometry, graph, labels, lookup, orphans, quantize, ranks, registry, report, segment, stats, tokenstats
 from strandmill.sources import arrays, files
 
 
@@ -386,3 +386,79 @@ def test_streaming_counts(spark, tmp_path):
     q = windowed_counts(s, "ts", "token").writeStream.outputMode("complete").format("memory").queryName("counted").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert sorted(r["n"] for r in spark.table("counted").collect()) == [1, 2]
+
+
+def test_lookup_padding_and_shapes(spark):
+    cache = spark.createDataFrame([("a ", "Misato", 8, 3), ("A", "misato", 8, 5), ("b", "misato", 4, 7), ("c", "mdcath", 8, 9)], "pid string, dataset string, n_frames int, n int")
+    wanted = spark.createDataFrame([("A",), ("b",), ("c",), (None,)], "pid string")
+    assert sorted(rows(lookup.lookup(wanted, cache, "misato", 8, ["n"], ("misato", "mdcath")))) == [("A", 5), ("B", None), ("C", None)]
+    with pytest.raises(ValueError):
+        lookup.lookup(wanted, cache, "other", 8, ["n"], ("misato", "mdcath"))
+    assert {r[1] for r in rows(lookup.lookup(wanted, cache, "other", 8, ["n"]))} == {None}
+    dense, mask = lookup.padded(F.array(F.lit(1), F.lit(2)), 3)
+    assert one(spark, a=dense, b=mask) == ([1, 2, 0], [True, True, False])
+    bad = spark.createDataFrame([([1.0],), (None,)], "x array<double>")
+    with pytest.raises(Exception, match="x must have 2 elements"):
+        lookup.checked(bad, {"x": 2}).collect()
+    df = spark.createDataFrame([(0, i, float(i)) for i in range(4)], "g int, o int, v double")
+    assert [r[3] for r in sorted(rows(lookup.sliding_dot(df, "g", "o", "v", [1.0, 10.0, 100.0])))] == [100.0, 210.0, 321.0, 32.0]
+
+
+def test_wild_types(spark):
+    df = spark.createDataFrame([("x", "A1W:C2Y", "WYD", 0), ("x", "D3E", "ACEZ", 2), ("x", "bad", "ACD", 1), ("y", "A1W:C2Y", "WYD", 5), ("z", "A9W", "W", 0)], "assay string, mutant string, mutated_sequence string, ord int")
+    assert sorted(rows(lookup.wild_types(df))) == [("x", "ACDZ"), ("y", "ACD")]
+
+
+def test_registries_basis_and_arguments(spark):
+    assert one(spark, a=registry.descriptor("steps", F.array(F.lit(1.0), F.lit(4.0), F.lit(2.0)))) == ([3.0, -2.0],)
+    with pytest.raises(ValueError):
+        registry.descriptor("none", "x")
+    with pytest.raises(ValueError):
+        registry.tokenize("none", spark.range(1))
+    b = basis.random_basis(6, 3, seed=1)
+    assert np.allclose(b @ b.T, np.eye(3)) and np.allclose(np.linalg.norm(basis.random_basis(3, 6), axis=1), 1)
+    x = (2 * b[0] - b[2]).tolist()
+    (_, c, rest), = rows(basis.projected(spark.createDataFrame([(1, x)], "id bigint, vec array<double>"), b))
+    assert c == pytest.approx([2, 0, -1], abs=1e-9) and rest == pytest.approx(0, abs=1e-9)
+    assert args.named("a = b=c") == ("a", "b=c") and args.listed("1, 2,", int) == [1, 2] and args.shard("0/3") == (0, 3) and args.spread([1], 2) == [1, 1]
+    for wrong in (lambda: args.named("x"), lambda: args.shard("3/3"), lambda: args.spread([1, 2], 3)):
+        with pytest.raises(ValueError):
+            wrong()
+
+
+def test_bundle_without_positives(spark):
+    from strandmill.operators.probes import multilabel_bundle
+
+    r = multilabel_bundle(spark.createDataFrame([(1, "a", 0.5, 0)], "id int, cls string, score double, y int")).first()
+    assert r["n_classes"] == 0 and all(math.isnan(r[c]) for c in ("macro_ap", "micro_ap", "top1"))
+
+
+def test_grid_best_and_sections(spark):
+    assert tuple(one(spark, a=text.grid_best(F.lit("Grid-best α = 0.3 → +0.4512")))[0]) == (0.3, 0.4512)
+    assert tuple(one(spark, a=text.cell(F.lit("+0.1000 ± 0.0100 (n=3)")))[0]) == (0.1, 0.01, 3)
+    df = spark.createDataFrame([("EC", "**own** (n=3)"), ("gone", "x")], "section string, baseline string")
+    assert rows(report.with_sections(df, {"EC": "ec"}, {"own": "Own model"})) == [("ec", "Own model")]
+
+
+def test_frames_in_batches(spark):
+    rng = np.random.default_rng(2)
+    data = [(f"P{p}", f, r, *[rng.normal(size=3).tolist() for _ in range(3)]) for p in range(3) for f in range(4) for r in range(5 + p * 14)]
+    df = spark.createDataFrame(data, "pid string, frame int, res int, n array<double>, ca array<double>, c array<double>")
+    got = {r[:3]: r[3] for r in rows(geometry.descriptors(df, 4))}
+    assert len(got) == len(data)
+    for p, f in (("P0", 0), ("P2", 3)):
+        mine = [x for x in data if x[:2] == (p, f)]
+        want = geometry.frame_descriptor(*[np.array([x[i] for x in mine]) for i in (3, 4, 5)], 4)
+        assert np.allclose([got[p, f, x[2]] for x in mine], want)
+
+
+def test_exports_and_command_line(spark, tmp_path):
+    import strandmill
+    from strandmill import cli
+
+    assert all(getattr(strandmill, n) is not None for n in strandmill.__all__)
+    spark.createDataFrame([("P", "ACX")], "pid string, seq string").write.parquet(str(tmp_path / "in"))
+    cli.main(["--cores", "4", "--out", str(tmp_path / "out"), "tokenize", "residue", str(tmp_path / "in")])
+    assert sorted(rows(spark.read.parquet(str(tmp_path / "out")).select("residue", "token"))) == [(0, 0), (1, 1), (2, 20)]
+    with pytest.raises(SystemExit):
+        cli.parser().parse_args(["unknown"])
