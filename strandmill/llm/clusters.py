@@ -505,12 +505,16 @@ def density_clusters(rows: DataFrame, eps: float = 2.0, dim: int = 192, id: str
     some = bool(large.take(1))
     group = group.select(F.col("node").alias("id"), F.col("lead").alias("g"))
     v = d.mapInArrow(packed, "id bigint, v binary")
-    ordinary = group.join(large, group["g"] == large["lead"], "left_anti") if some else group
-    whole = v.join(ordinary, "id").select("g", "id", F.col("id").alias("comp"), "v").repartition("g").sortWithinPartitions("g")
+    if some:  # the vectors are joined once for both kinds of groups
+        sized = group.join(large.select(F.col("lead").alias("g"), "n"), "g", "left")
+        met = scratch.write(v.join(sized, "id").dropDuplicates(["id"]).select("g", "id", "v", "n"), "grouped")
+        ordinary = met.where("n IS NULL")
+    else:
+        ordinary = v.join(group, "id")
+    whole = ordinary.select("g", "id", F.col("id").alias("comp"), "v").repartition("g").sortWithinPartitions("g")
     local = whole.mapInArrow(_parts(dim, eps), "id bigint, comp bigint, root bigint").select("id", F.col("root").alias("cluster"))
     if some:
-        dense = v.join(group.join(large, group["g"] == large["lead"]), "id").select("g", "id", "v", "n").dropDuplicates(["id"])
-        names = components(_divided(dense, dim, eps)).withColumnsRenamed({"node": "id", "lead": "cluster"})
+        names = components(_divided(met.where("n IS NOT NULL"), dim, eps)).withColumnsRenamed({"node": "id", "lead": "cluster"})
         local = local.unionByName(names.select("id", "cluster"))
     local = scratch.write(local, "local")
     alone = local.groupBy("cluster").agg(F.count("*").alias("n")).where("n > 1").select("cluster")
