@@ -446,6 +446,18 @@ def test_cross_split(spark, seed):
     same(overlaps.cross_split(b, s).drop("similarity"), want)
 
 
+def test_coverage(spark):
+    r = random.Random(9)
+    a = "".join(r.choice("ACDEFGHIKLMNPQRSTVWY") for _ in range(200))
+    b = a[:100] + ("A" if a[100] != "A" else "C") + a[101:]  # one letter replaced
+    c = a[:60] + a[63:]  # three letters less
+    bb = [("T1", b, "misato", 0, True), ("T2", a, "other", 0, True), ("T3", c, "other", 0, True), ("E1", a, "x", 0, True), ("E2", "MKV" * 30, "x", 0, True), ("B", "ACDE" * 20, None, 0, True), ("N", None, "x", 0, True)]
+    sp = [("s", "train", p, "") for p in ("T1", "T2", "T3", "B", "N")] + [("s", "val", p, "") for p in ("E1", "E2", "B", "N")]
+    got = {x[:3]: x[3:] for x in rows(overlaps.coverage(spark.createDataFrame(bb, B6), spark.createDataFrame(sp, SP)))}
+    assert got == {("s", "E1", "misato"): (1, 200, 199, 199 / 200), ("s", "E1", "other"): (2, 200, 200, 1.0), ("s", "B", None): (1, 80, 80, 1.0)}
+    assert rows(overlaps.coverage(spark.createDataFrame([], B6), spark.createDataFrame([], SP))) == []
+
+
 def test_cross_split_of_nothing(spark):
     b, s = spark.createDataFrame([], B6), spark.createDataFrame([], SP)
     assert rows(overlaps.cross_split(b, s)) == []
